@@ -38,6 +38,11 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
 
+def _once(value: Column) -> Column:
+    """value, in a form that the optimizer doesn't copy into filters above, where each copy would be computed again."""
+    return F.when(F.rand(0) + 1 >= 1, value)
+
+
 def base_rules(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text, host) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     out = rows.withColumn("_w", _words(F.col("text")))
@@ -54,15 +59,15 @@ def base_rules(rows: DataFrame) -> DataFrame:
     out = out.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     out = out.withColumn("_win", F.when(F.size(h) >= WINDOW, F.transform(F.slice(h, F.lit(1), F.size(h) - (WINDOW - 1)), window)))
     # most texts repeat no window, which a hash set tells cheaply; only the others are sorted
-    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.array_sort(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    out = out.withColumn("_s", _once(F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.sort_array(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))))
     s = F.col("_s")
     same = lambda x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
     twice = F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
-    out = out.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    out = out.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    out = out.withColumn("base_failed", _once((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
     return out.drop("_w", "_l", "_h", "_win", "_s", "_p")
 
 
@@ -74,12 +79,13 @@ def _lines(rows: DataFrame) -> DataFrame:
     a = F.col("_a")
     entry = lambda x, i: F.struct(x["h"].alias("line"), i.alias("i"), x["w"].cast("long").alias("words"), F.xxhash64(F.get(a, i - 1)["h"], F.get(a, i + 1)["h"]).alias("context"))
     out = out.withColumn("n_words", F.aggregate(F.transform(a, lambda x: x["w"].cast("long")), F.lit(0).cast("long"), lambda n, x: n + x))
-    out = out.withColumn("_s", F.array_sort(F.transform(a, entry)))
+    out = out.withColumn("_s", F.sort_array(F.transform(a, entry)))
     s = F.col("_s")
     # the first occurrence speaks for the line; later ones only add their words
     again = lambda x, k: F.coalesce(x["line"] == F.get(s, k - 1)["line"], F.lit(False))
     marked = F.transform(s, lambda x, k: F.struct(x["line"].alias("line"), F.when(~again(x, k), x["context"]).alias("context"), x["words"].alias("words")))
-    return out.select("k0", "k1", "host", "n_words", F.explode(marked).alias("x")).select("k0", "k1", "host", "n_words", "x.*")
+    out = out.select("k0", "k1", "host", "n_words", _once(marked).alias("_m"))
+    return out.select("k0", "k1", "host", "n_words", F.explode("_m").alias("x")).select("k0", "k1", "host", "n_words", "x.*")
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
