@@ -73,9 +73,9 @@ def base_rules(rows: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """k0, k1, host, and for each distinct line of a text: line (hash), context (hash), words (in all its occurrences), n_words."""
-    clean = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.trim(F.regexp_replace(x, _SPACE, " ")))
+    clean = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]{2,}|[\x09\x0B-\x0D]", " ")))
     out = rows.select(*text_key(), "host", F.filter(clean, lambda x: x != "").alias("_l"))
-    out = out.withColumn("_a", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"[^\x20]+")).alias("w"))))
+    out = out.withColumn("_a", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w"))))
     a = F.col("_a")
     entry = lambda x, i: F.struct(x["h"].alias("line"), i.alias("i"), x["w"].cast("long").alias("words"), F.xxhash64(F.get(a, i - 1)["h"], F.get(a, i + 1)["h"]).alias("context"))
     out = out.withColumn("n_words", F.aggregate(F.transform(a, lambda x: x["w"].cast("long")), F.lit(0).cast("long"), lambda n, x: n + x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from rasterlake.llm import ann, language_id, packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
 from rasterlake.llm.common import documents
 
 
@@ -25,6 +25,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(documents(spark, sf_dir))
 
 
+def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), F.pmod(F.crc32(F.col("doc_id").cast("string")), 3) == 1)
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,5 +43,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op5_secret_scan, op8_simhash_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op5_secret_scan, op6_ann_forest, op7_language_id, op8_simhash_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
