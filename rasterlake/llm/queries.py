@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import ann, language_id, packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from rasterlake.llm import ann, language_id, language_model, packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
 from rasterlake.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir), F.pmod(F.crc32(F.col("doc_id").cast("string")), 10) == 0)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(documents(spark, sf_dir))
 
@@ -43,5 +47,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op5_secret_scan, op6_ann_forest, op7_language_id, op8_simhash_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op4_language_model, op5_secret_scan, op6_ann_forest, op7_language_id, op8_simhash_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
