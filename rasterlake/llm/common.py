@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +31,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, cuts its lineage and lets go of shuffle files no longer needed."""
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = df.checkpoint()
-    release(df.sparkSession)
+    del df  # callers pass the plan without holding it, so that its shuffle files can go
+    release(spark)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files of plans that nobody holds any more go with the driver's next garbage collection; this asks for it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of plans that nobody holds any more go with the driver's next garbage collection; this asks for it. The second time is
+    for what an event on its way to a listener held at the first."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def text_key() -> list:

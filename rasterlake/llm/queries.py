@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import ann, language_id, language_model, packing, pii, quality_rules, secret_scan, simhash_dedup, substring_dedup
+from rasterlake.llm import ann, language_id, language_model, packing, pii, quality_rules, secret_scan, sentence_pieces, simhash_dedup, substring_dedup
 from rasterlake.llm.common import documents
 
 
@@ -42,10 +42,14 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_words(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op4_language_model, op5_secret_scan, op6_ann_forest, op7_language_id, op8_simhash_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op4_language_model, op5_secret_scan, op6_ann_forest, op7_language_id, op8_simhash_dedup, op9_sentence_pieces, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}

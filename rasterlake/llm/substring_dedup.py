@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,15 @@ def is_cover(n: int) -> np.ndarray:
     return table[np.arange(n) % PERIOD]
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Row keys and positions come in runs, so they are sent at a fraction of their size."""
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _unsqueezed(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
+
+
 class _Sender:
     """Collects (hash, row, position), finds repeats among its own and sends each hash once."""
 
@@ -127,12 +137,12 @@ class _Sender:
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cut, [*cut[1:], len(sent)], strict=True):
             i = sent[a:b]
-            yield {"p": int(bucket[a]), "h": h[i].tobytes(), "hi": hi[i].tobytes(), "k0": k0[i].tobytes(), "k1": k1[i].tobytes(), "pos": pos[i].tobytes(), "flag": (known[i] | (~wants[i] << 1)).astype(np.uint8).tobytes()}
+            yield {"p": int(bucket[a]), "h": h[i].tobytes(), "hi": hi[i].tobytes() if hi.any() else b"", "k0": _squeezed(k0[i]), "k1": _squeezed(k1[i]), "pos": _squeezed(pos[i]), "flag": _squeezed((known[i] | (~wants[i] << 1)).astype(np.uint8))}
         if answer.any():
             i = answer.nonzero()[0]
             for a in range(0, len(i), FLUSH // 16):
                 j = i[a : a + FLUSH // 16]
-                yield {"p": int((k0[j[0]] ^ k1[j[0]]) % self.buckets), "h": b"", "hi": b"", "k0": k0[j].tobytes(), "k1": k1[j].tobytes(), "pos": pos[j].tobytes(), "flag": b""}
+                yield {"p": int((k0[j[0]] ^ k1[j[0]]) % self.buckets), "h": b"", "hi": b"", "k0": _squeezed(k0[j]), "k1": _squeezed(k1[j]), "pos": _squeezed(pos[j]), "flag": b""}
 
 
 def _groups(h: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +162,7 @@ def _table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
+_ANSWER_ARROW = pa.schema([("p", pa.int32()), *((x, pa.binary()) for x in ("k0", "k1", "pos"))])
 _SENT_ARROW = pa.schema([("p", pa.int32()), *((x, pa.binary()) for x in ("h", "hi", "k0", "k1", "pos", "flag"))])
 
 
@@ -167,38 +178,55 @@ def _by_row(k0: np.ndarray, k1: np.ndarray, pos: np.ndarray) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(k0[s]), pa.array(k1[s]), pa.array([pos[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], ["k0", "k1", "pos"])
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(buckets: int):
     """All that was sent of a hash is here: answers those whose hash has another occurrence."""
-    got: list[tuple] = []
-    done: list[tuple] = []
-    for batch in batches:
-        for h, hi, k0, k1, pos, flag in zip(*(batch.column(x).to_pylist() for x in ("h", "hi", "k0", "k1", "pos", "flag")), strict=True):
-            row = (np.frombuffer(k0, np.int64), np.frombuffer(k1, np.int64), np.frombuffer(pos, np.int32))
-            if h:
-                got.append((np.frombuffer(h, np.uint64), np.frombuffer(hi, np.uint32), *row, np.frombuffer(flag, np.uint8)))
-            else:
-                done.append(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        done: list[tuple] = []
+        for batch in batches:
+            for h, hi, k0, k1, pos, flag in zip(*(batch.column(x).to_pylist() for x in ("h", "hi", "k0", "k1", "pos", "flag")), strict=True):
+                row = (_unsqueezed(k0, np.int64), _unsqueezed(k1, np.int64), _unsqueezed(pos, np.int32))
+                if h:
+                    got.append((np.frombuffer(h, np.uint64), np.frombuffer(hi, np.uint32) if hi else np.zeros(len(h) // 8, np.uint32), *row, _unsqueezed(flag, np.uint8)))
+                else:
+                    done.append(row)
+        if got:
+            h, hi, k0, k1, pos, flag = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
+            order, start, count = _groups(h, hi)
+            known = np.maximum.reduceat(flag[order] & 1, start) > 0
+            repeats = np.zeros(len(h), bool)
+            repeats[order] = np.repeat(known | (count >= 2), count)
+            answer = repeats & (flag < 2) & ((flag == 0) | (pos == COPY))
+            pos = pos.copy()
+            first = order[start]
+            speaks = first[(pos[first] == COPY) & answer[first]]
+            pos[speaks] = SPEAKER
+            done.append((k0[answer], k1[answer], pos[answer]))
+        if sum(len(x[0]) for x in done):
+            # each document's answers go to one place; many documents' in one row, so that rows don't grow with partitions times documents
+            k0, k1, pos = (np.concatenate(x) for x in zip(*done, strict=True))
+            to = (_mix((k0 ^ k1).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((pos, k1, k0, to))
+            cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+            rows = [{"p": int(to[order[a]]), **{c: _squeezed(x[order[a:b]]) for c, x in (("k0", k0), ("k1", k1), ("pos", pos))}} for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
+            yield _table(rows, _ANSWER_ARROW)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [tuple(_unsqueezed(x, t) for x, t in zip(row, (np.int64, np.int64, np.int32), strict=True)) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("k0", "k1", "pos")), strict=True)]
     if got:
-        h, hi, k0, k1, pos, flag = (np.concatenate(x) for x in zip(*got, strict=True))
-        got.clear()
-        order, start, count = _groups(h, hi)
-        known = np.maximum.reduceat(flag[order] & 1, start) > 0
-        repeats = np.zeros(len(h), bool)
-        repeats[order] = np.repeat(known | (count >= 2), count)
-        answer = repeats & (flag < 2) & ((flag == 0) | (pos == COPY))
-        pos = pos.copy()
-        first = order[start]
-        speaks = first[(pos[first] == COPY) & answer[first]]
-        pos[speaks] = SPEAKER
-        done.append((k0[answer], k1[answer], pos[answer]))
-    if done:
-        yield from _by_row(*(np.concatenate(x) for x in zip(*done, strict=True)))
+        yield from _by_row(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
 
 def _repeats(sent: DataFrame, buckets: int) -> DataFrame:
-    """(k0, k1, list of positions) of what repeats, one row for each document."""
-    found = sent.repartition(buckets // 4, "p").mapInArrow(_find, _FOUND)
-    return found.groupBy("k0", "k1").agg(F.collect_list("pos").alias("pos"))
+    """(k0, k1, positions) of what repeats, one row for each document."""
+    n = buckets // 4
+    answers = sent.repartition(n, "p").mapInArrow(_find(buckets), "p int, k0 binary, k1 binary, pos binary")
+    return answers.repartition(n, "p").mapInArrow(_gather, _FOUND)
 
 
 def _anchors(buckets: int):
@@ -231,8 +259,8 @@ def _candidates(n: int, anchors: np.ndarray) -> np.ndarray:
     return (np.cumsum(mark[:-1]) > 0).nonzero()[0]
 
 
-def _positions(x: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(x), np.int32) if x else np.empty(0, np.int32)
+def _positions(x: bytes | None) -> np.ndarray:
+    return np.frombuffer(x, np.int32) if x else np.empty(0, np.int32)
 
 
 _STEP_SQL = "k0 long, k1 long, doc_id long, text binary, n_words long, n_removed long, kept_sha256 string, p int, h binary, hi binary, sk0 binary, sk1 binary, pos binary, flag binary"
@@ -266,7 +294,7 @@ def _extend(buckets: int):
                     if SPEAKER not in whole:
                         continue
                 else:
-                    rows.append(row | {"text": text})
+                    rows.append(row | {"text": zstandard.compress(text, 1)})
                 h = word_hashes(words)
                 at = _candidates(len(words), anchors[anchors >= 0])
                 rows += sent(out.add(window_hashes(h, WINDOW)[at], (window_hashes(h, WINDOW, _B2)[at] >> np.uint64(32)).astype(np.uint32), k0, k1, at, wants=not len(whole)))
@@ -289,7 +317,7 @@ def _kept(n: int, starts: np.ndarray) -> np.ndarray:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, k0, k1, doc_id, found in zip(text_bytes(batch.column("text")), *(batch.column(x).to_pylist() for x in ("k0", "k1", "doc_id", "pos")), strict=True):
+        for text, k0, k1, doc_id, found in zip(map(zstandard.decompress, batch.column("text").to_pylist()), *(batch.column(x).to_pylist() for x in ("k0", "k1", "doc_id", "pos")), strict=True):
             words = text.split()
             keep = _kept(len(words), _positions(found))
             left = [w for w, k in zip(words, keep, strict=True) if k]
@@ -301,13 +329,17 @@ _OUT_ARROW = pa.schema([("k0", pa.int64()), ("k1", pa.int64()), ("doc_id", pa.in
 _OUT_SQL = "k0 long, k1 long, doc_id long, n_words long, n_removed long, kept_sha256 string, keep binary"
 
 
+def _extended(docs: DataFrame, buckets: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(*text_key(), "doc_id", "text")
+    anchors = _repeats(rows.drop("doc_id").mapInArrow(_anchors(buckets), _SENT), buckets)
+    return rows.join(anchors, ["k0", "k1"], "left").mapInArrow(_extend(buckets), _STEP_SQL)
+
+
 def repeated_words(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: k0, k1 (its identity, see `text_key`), doc_id, n_words, n_removed, kept_sha256 and keep, a bit
     for each word (null: all words stay, or none does, by n_removed)."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(*text_key(), "doc_id", "text")
-    anchors = _repeats(rows.drop("doc_id").mapInArrow(_anchors(buckets), _SENT), buckets)
-    step = checkpointed(rows.join(anchors, ["k0", "k1"], "left").mapInArrow(_extend(buckets), _STEP_SQL))
+    step = checkpointed(_extended(docs, buckets))
     windows = step.where("p is not null").select("p", "h", "hi", F.col("sk0").alias("k0"), F.col("sk1").alias("k1"), "pos", "flag")
     ended = step.where("kept_sha256 is not null").select("k0", "k1", "doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("binary").alias("keep"))
     open_ = step.where("text is not null").select("k0", "k1", "doc_id", "text")
