@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +27,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterlake-checkpoint-"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, cuts its lineage and lets go of shuffle files no longer needed."""
+    """Writes df to the shared checkpoint folder and cuts its lineage. The shuffle files of the job go as soon as it has ended."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    out = df.checkpoint()
-    del df  # callers pass the plan without holding it, so that its shuffle files can go
-    release(spark)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files of plans that nobody holds any more go with the driver's next garbage collection; this asks for it. The second time is
-    for what an event on its way to a listener held at the first."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan of its own, made under that setting
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def text_key() -> list:

@@ -225,7 +225,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeats(sent: DataFrame, buckets: int) -> DataFrame:
     """(k0, k1, positions) of what repeats, one row for each document."""
     n = buckets // 4
-    answers = sent.repartition(n, "p").mapInArrow(_find(buckets), "p int, k0 binary, k1 binary, pos binary")
+    answers = sent.repartition(n, "p").mapInArrow(_find(n), "p int, k0 binary, k1 binary, pos binary")
     return answers.repartition(n, "p").mapInArrow(_gather, _FOUND)
 
 
