@@ -94,7 +94,20 @@ def fold_severity(problems: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """The value in fixed notation, rounded as C's printf does: by its exact binary value, ties to even. (Java's formatter rounds the
+    shortest decimal, ties up.) The product with the power of ten is taken as a rounded part and its error, which is exact here."""
+    x, scale = F.abs(value.cast("double")), float(10**digits)
+    product = x * scale
+    split = x * F.lit(134217729.0)
+    high = split - (split - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = whole + F.when(up, 1).otherwise(0)
+    text = n.cast("string") if not digits else F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+    small = F.concat(F.when(value < 0, "-").otherwise(""), text)
+    return F.when(x < 2.0**46, small).when(x.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double")))
 
 
 def number(value: Column, digits: int = 2) -> Column:
