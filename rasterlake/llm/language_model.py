@@ -209,6 +209,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary_size: int = VOCABULARY)
     for r in grouped.collect():
         tokens_of[r["k"]], words_of[r["k"]] = r["c"], r["v"]
     known = dict(top)
+    known |= {b"": r["c"] for r in counts.where("length(word) = 0").collect()}  # the end, should it be a rare token
     for w in vocabulary:
         tokens_of[word_class(w)] -= known[w]
         words_of[word_class(w)] -= 1

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import itertools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +30,14 @@ CAPACITY = 2048
 REMEMBERED = 400_000
 
 
+_LOOSE = re.compile(r" \s")
+
+
 class Words(dict):
     """The ids, as little-endian bytes, of a word with the space before it.
 
-    The vocabulary's pattern never joins what stands on both sides of a single space, but for the space itself, so texts without
-    runs of white space can be encoded word by word, and most words are met again.
+    The vocabulary's pattern never joins what stands on both sides of a single space, but for the space itself, so texts without a space
+    before other white space can be encoded word by word, and most words are met again. Other texts are encoded as a whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -58,7 +62,7 @@ class Words(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        if "  " in text or text.endswith(" ") or not text:
+        if not text or text[-1] == " " or _LOOSE.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, _, rest = text.partition(" ")
         start = np.array(self.encode(first), "<u4").tobytes() if first else b""

@@ -140,8 +140,9 @@ class _Sender:
             yield {"p": int(bucket[a]), "h": h[i].tobytes(), "hi": hi[i].tobytes() if hi.any() else b"", "k0": _squeezed(k0[i]), "k1": _squeezed(k1[i]), "pos": _squeezed(pos[i]), "flag": _squeezed((known[i] | (~wants[i] << 1)).astype(np.uint8))}
         if answer.any():
             i = answer.nonzero()[0]
-            for a in range(0, len(i), FLUSH // 16):
-                j = i[a : a + FLUSH // 16]
+            each = max(1, FLUSH // 16)
+            for a in range(0, len(i), each):
+                j = i[a : a + each]
                 yield {"p": int((k0[j[0]] ^ k1[j[0]]) % self.buckets), "h": b"", "hi": b"", "k0": _squeezed(k0[j]), "k1": _squeezed(k1[j]), "pos": _squeezed(pos[j]), "flag": b""}
 
 
