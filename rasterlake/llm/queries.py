@@ -52,4 +52,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_anchors, op3_quality_rules, op4_language_model, op5_secret_scan, op6_ann_forest, op7_language_id, op8_simhash_dedup, op9_sentence_pieces, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS host FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT rid, unnest(range(1, greatest(1, len(w) - 3))) AS i, w FROM t),
+key AS (SELECT rid, i, array_to_string(w[i:i+4], chr(10)) AS k FROM win),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM key),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice WHERE c > 1) GROUP BY rid),
+raw AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+cl AS (SELECT rid, host, list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), ' ')), lambda x: x <> '') AS l FROM d),
+ln AS (SELECT rid, host, l[i] AS line, i, coalesce(l[i-1], '') || chr(10) || coalesce(l[i+1], '') AS ctx FROM (SELECT rid, host, l, unnest(range(1, len(l) + 1)) AS i FROM cl)),
+one AS (SELECT *, len(string_split(line, ' ')) AS words, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS occ FROM ln),
+often AS (SELECT host, line FROM one WHERE occ = 1 GROUP BY host, line HAVING count(*) > 10 AND count(DISTINCT ctx) > 0.5 * count(*)
+  AND count(*) > 0.002 * (SELECT count(*) FROM d WHERE d.host = one.host)),
+hit AS (SELECT rid, sum(words) AS n FROM one SEMI JOIN often ON one.host = often.host AND one.line = often.line GROUP BY rid),
+b AS (SELECT t.rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(hit.n, 0) AS f, hit.n IS NOT NULL AS h
+  FROM t LEFT JOIN rep ON t.rid = rep.rid LEFT JOIN dup ON t.rid = dup.rid LEFT JOIN hit ON t.rid = hit.rid)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (h AND (n_words - f < 10 OR n_words - f < 0.3 * n_words)) AS kept, CAST(f AS BIGINT) AS n_frequent FROM b""",
+    "op10_substring_dedup": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+key AS (SELECT rid, i, sha256(array_to_string(w[i:i+34], ' ')) AS k FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 33))) AS i FROM t)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM key) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM twice)),
+words AS (SELECT rid, p, w[p] AS x FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM t)),
+left_ AS (SELECT words.rid, string_agg(x, ' ' ORDER BY words.p) AS s, count(*) AS n FROM words ANTI JOIN gone ON words.rid = gone.rid AND words.p = gone.p GROUP BY words.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN left_ ON t.rid = left_.rid""",
+}
