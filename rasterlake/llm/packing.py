@@ -225,7 +225,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.nd
 
 
 def _place(runs: dict[str, np.ndarray]):
-    key = runs["size"].astype(np.float64) * 2.0**0
+    key = runs["size"]
     first_of = {int(s): int(i) for s, i in zip(*np.unique(key, return_index=True), strict=True)}
     last_of = {int(s): int(np.searchsorted(key, s, side="right")) for s in first_of}
 
