@@ -294,7 +294,7 @@ def test_language_model(docs, corpus):
 def test_language_model_joins_rare_words(docs, monkeypatch):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), 10) == 0
     whole = language_model.score(docs, held, 30).toPandas().sort_values(["doc_id", "n_tokens"])
-    monkeypatch.setattr(language_model, "KNOWN", 31)
+    monkeypatch.setattr(language_model, "KNOWN", 70)
     parts = language_model.score(docs, held, 30).toPandas().sort_values(["doc_id", "n_tokens"])
     assert (whole.n_known.to_numpy() == parts.n_known.to_numpy()).all() and np.allclose(whole.score, parts.score) and np.allclose(whole.base_score, parts.base_score)
 
