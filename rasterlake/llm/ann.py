@@ -203,7 +203,11 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     some = within.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("vec_id"))).where(F.col("r") <= top + 1)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= top + 1)
     distinct = checkpointed(some.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    sampled = distinct.select("h", "v").orderBy("h").limit(SAMPLE).collect()
+    # hashes are uniform, so a bound on them takes about SAMPLE vectors, the same ones wherever they lie
+    bound = -(2**63) + int(2**64 * min(1.0, 0.95 * SAMPLE / distinct.count())) - 1
+    sampled = sorted(distinct.where(F.col("h") <= bound).select("h", "v").collect())[:SAMPLE]
+    if not sampled:  # hardly any vectors, all of large hash
+        sampled = distinct.select("h", "v").limit(SAMPLE).collect()
     forest = fit(np.array([r["v"] for r in sampled]))
     indexed = checkpointed(distinct.select("ids", "v").mapInArrow(_leaves(forest), "tree int, leaf int, ids array<long>, v array<double>"))
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
