@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that lie in fewer partitions than there are cores are dealt out before work that is heavy for their size."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, r, g, b."""
     rows = table(spark, sf_dir, "lineitem")
@@ -38,7 +44,9 @@ def order_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, rgb: one picture of one row of pixels for each order; an order has few lines."""
     px = F.sort_array(F.collect_list(F.struct("l_linenumber", "r", "g", "b")))
     flat = F.flatten(F.transform(px, lambda p: F.array(p["r"], p["g"], p["b"])))
-    return lineitem_pixels(spark, sf_dir).groupBy("l_orderkey").agg(flat.alias("rgb")).withColumnRenamed("l_orderkey", "key")
+    # a number of partitions that adaptive execution keeps: these rows are few bytes but much work
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return lineitem_pixels(spark, sf_dir).repartition(n, "l_orderkey").groupBy("l_orderkey").agg(flat.alias("rgb")).withColumnRenamed("l_orderkey", "key")
 
 
 def gray_value(e: Column) -> Column:
@@ -47,7 +55,7 @@ def gray_value(e: Column) -> Column:
 
 def vector_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, gray: an 8 x 8 picture for each vector."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", gray_value).alias("gray"))
+    return spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", gray_value).alias("gray")))
 
 
 def encoded(pictures: DataFrame, kind: Column, cut: Column | None = None) -> DataFrame:

@@ -119,7 +119,7 @@ def _mixed(spark: SparkSession, sf_dir: str, deep: bool = False) -> DataFrame:
     size = F.col("p_size")
     parts = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array_repeat(F.array(size, size + 1, size + 2), 40).alias("x")).select("key", F.flatten("x").alias("rgb"))
     kind = F.element_at(F.lit([k for k, _ in _MIX]), (F.col("key") % 7 + 1).cast("int"))
-    return B.records(parts, kind, deep, F.col("key") % 3 == 0)
+    return B.records(B.spread(parts), kind, deep, F.col("key") % 3 == 0)
 
 
 _MIX_FORMAT = "CASE p_partkey % 7 WHEN 0 THEN 'BMP' WHEN 1 THEN 'PNG' WHEN 2 THEN 'PCX' WHEN 3 THEN 'TIFF' WHEN 4 THEN 'TIFF' WHEN 5 THEN 'GIF' ELSE 'JPEG' END"
