@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.llm.common import checkpointed, shuffle_partitions, text_bytes
 from rasterlake.llm.graph import connected_components
+from rasterlake.llm.jaccard import similar
 
 DISTANCE, SHINGLE, SEED = 2, 3, 42
 #: An anchor's members beyond which they are linked by shared points.
@@ -223,11 +224,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, one row of it if rows share it. A null doc_id counts as a large id
-    made from the text. Columns stay. Shingles of five words."""
+    """One document of each group of texts with a Jaccard similarity of 0.8 or more over their shingles of five words: the one with the smallest
+    doc_id, one row of it if rows share it. A null doc_id counts as a large id made from the text. Columns stay. Fingerprints within DISTANCE
+    bits would miss most of these, so the groups come from the shingles themselves."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2))
-    ids = docs.select(own.alias("doc_id"), "text")
-    keep = near_duplicates(ids, shingle).where("doc_id = component_id").select("doc_id").distinct()
+    ids = docs.select(own.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keep = similar(ids, shingle).where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.select(own.alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     one = rows.join(keep, rows["_id"] == keep["doc_id"], "left_semi").dropDuplicates(["_id"])
     return one.select("_row.*")

@@ -154,6 +154,41 @@ def test_keep_first(docs, corpus):
     assert ids.count(300) == 1 and 301 not in ids and 3 in ids and ids.count(None) == 2 and len([i for i in ids if i and 200 <= i < 220]) < 20
 
 
+@pytest.mark.parametrize("seen", [8, 1])
+def test_keep_first_by_jaccard(spark, monkeypatch, seen):
+    """The groups of all pairs with a Jaccard similarity of 0.8 or more, as brute force finds them; far more than two bits apart."""
+    from rasterlake.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SEEN", seen)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    footer = " ".join(word() for _ in range(40))
+    rows = []
+    for g in range(25):
+        base = [word() for _ in range(r.choice([12, 30, 80, 200]))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w) + (" " + footer if g % 3 == 0 else ""), "en", "s"))
+    rows += [(len(rows) + i, t, "en", "s") for i, t in enumerate(["", None, "one two", "one two", "One  two three"])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t, *_ in rows]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near -= {(i, j) for i, j in near if bool(sets[i]) != bool(sets[j])}
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    prints = [brute_fingerprint(t, 5) for _, t, *_ in rows]
+    assert any((prints[i] ^ prints[j]).bit_count() > 2 for i, j in near)
+    assert sorted(x["doc_id"] for x in simhash_dedup.keep_first(frame(spark, rows)).collect()) == sorted({root[i] for i in range(len(rows))})
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
