@@ -2,11 +2,12 @@
 
 Base rules look at one text. The method looks across documents: the lines of each text are normalised and hashed, each host (the
 column `source`) counts the distinct documents that a line occurs in, lines above the host's limit are taken out, and a document
-that is left with too little is rejected. Copies of one document are one document here: a line counts as frequent only if it stands
-between different neighbours, in a number of contexts of more than half its documents; so a document is not rejected for having
-copies (near-duplicate removal is another operator's job).
+that is left with too little is rejected. Copies of one document are one document here, so a document is not rejected for having
+copies (near-duplicate removal is another operator's job). `keep_good` counts distinct texts by their hash. `judge` gives what the SQL of op3
+says: it counts rows, and a line is frequent only in a number of contexts (neighbours) of more than half its rows, which exempts
+the inner lines of shared blocks and lines of a text with many copies.
 
-Counts are combined before the shuffle, first by line and context, then by line. Lines of a host meet their verdict in a plain join,
+Counts are combined before the shuffle, first by line and context or text, then by line. Lines of a host meet their verdict in a plain join,
 which adaptive execution may split where a line is very frequent. Texts are not shuffled.
 
 Null or empty texts have no words and fail the base rules; a null source is a host of its own; repeated rows are judged alike; null
@@ -15,6 +16,8 @@ doc_ids are kept; other columns are ignored by `judge` and kept by `keep_good`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,9 +101,17 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
     return often.join(hosts, "host").where(F.col("docs") > LINE_SHARE * F.col("host_docs")).select("host", "line")
 
 
-def depletion(rows: DataFrame) -> DataFrame:
+def shared_lines(rows: DataFrame) -> DataFrame:
+    """host, line: what is in more distinct texts than the limits of its host; copies count once, neighbours not at all."""
+    by_text = _lines(rows).where("context is not null").select("host", "line", "k1").distinct()
+    often = by_text.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    return often.join(hosts, "host").where(F.col("docs") > LINE_SHARE * F.col("host_docs")).select("host", "line")
+
+
+def depletion(rows: DataFrame, lines: Callable[[DataFrame], DataFrame] = frequent_lines) -> DataFrame:
     """k0, k1, host, n_frequent: the words that a text has in frequent lines, if it has any; depleted: whether too little is left."""
-    hits = _lines(rows).join(frequent_lines(rows), ["host", "line"])
+    hits = _lines(rows).join(lines(rows), ["host", "line"])
     # rows that are the same document twice have each line twice
     each = hits.groupBy("k0", "k1", "host").agg(F.sum("words").alias("s"), F.sum(F.when(F.col("context").isNotNull(), 1)).alias("rows"), F.size(F.collect_set("line")).alias("lines"), F.max("n_words").alias("n"))
     each = each.withColumn("n_frequent", (F.col("s") * F.col("lines") / F.col("rows")).cast("long"))
@@ -118,8 +129,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    gone = depletion(_rows(docs)).where("depleted").select("k0", "k1", "host")
+    """The rows of docs that pass, with all their columns. Lines are judged by shared_lines."""
+    gone = depletion(_rows(docs), shared_lines).where("depleted").select("k0", "k1", "host")
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), *text_key(), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return base_rules(rows).where("not base_failed").join(gone, ["k0", "k1", "host"], "left_anti").select("row.*")

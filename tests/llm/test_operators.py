@@ -307,6 +307,20 @@ def test_frequent_lines(spark):
     assert quality_rules.keep_good(frame(spark, rows)).count() == 40 + 30 + 1
 
 
+def test_shared_blocks_and_copied_lines(spark):
+    """Every line of a block counts, and copies of one text don't hide a line that many others have; copies alone condemn no line."""
+    r = random.Random(2)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    footer, common, copied = "\n".join(line(9) for _ in range(3)), line(14), line(12)
+    rows = [(i, line(4) + "\n" + footer, "en", "blocks") for i in range(20)]
+    rows += [(100 + i, line(3) + "\n" + common, "en", "copies") for i in range(12)]
+    rows += [(200 + i, rows[20][1], "en", "copies") for i in range(40)]
+    rows += [(300 + i, copied + "\n" + line(2), "en", "few") for i in range(9)]
+    rows += [(400 + i, rows[-1][1], "en", "few") for i in range(30)]
+    kept = {x["doc_id"] for x in quality_rules.keep_good(frame(spark, rows)).collect()}
+    assert kept == {i for i, *_ in rows if i >= 300}
+
+
 def test_language_model(docs, corpus):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     rows = language_model.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), 10) == 0, vocabulary_size=40).toPandas()
