@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
-Candidates are runs of token characters long enough to be a credential, values after a cue such as `password=`, and private key
-blocks. The forest sees a candidate's length, its character classes and transitions between them, how much of it a dictionary of short
+Candidates are runs of token characters long enough to be a credential, values after a cue such as `password=`, `DB_PASSWORD:` or
+`"api_key": "`, what follows `Bearer`, and private key blocks. The forest sees a candidate's length, its character classes and transitions between them, how much of it a dictionary of short
 words and syllables covers, whether it looks like a path or an address, and the neighbouring words. It is trained in numpy from
 labelled findings: a fixed number (FINDINGS) of made ones, drawn from a fixed seed over the shapes that real scanners report, true (keys, tokens,
 passwords in assignments) and false (digests named as such, identifiers, paths, long words, numbers, versions).
@@ -43,7 +43,12 @@ WORDS = (
 _DICTIONARY = frozenset(w for w in WORDS if len(w) >= 3)
 
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
-_VALUE = re.compile(r"(?i)\b(?:" + "|".join(re.escape(c) for c in CUES) + r")\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")
+_ANY = "|".join(re.escape(c) for c in CUES)
+#: A cue within a name (DB_PASSWORD, "api_key", tokens["auth"]), a separator, perhaps a scheme, and the value; or a scheme and the value.
+_VALUE = re.compile(r"(?i)(?:" + _ANY + r")[A-Za-z0-9_.\-]{0,40}[\"']?\]?\s{0,3}(?::=|[:=]>?)\s{0,3}[\"']?(?:(?:bearer|basic|token)\s{1,3})?((?!(?:bearer|basic|token)\s)[^\s\"',;]{6,})")
+_BEARER = re.compile(r"(?i)\bbearer\s{1,3}[\"']?([A-Za-z0-9._~+/\-]{6,}={0,2})")
+#: A cue as a part of a name: between other characters than letters, or told by its capitals (dbPassword, PGPASSWORD).
+_CUE = re.compile(r"(?<![A-Za-z])(?:" + _ANY + r")s?(?![a-z])|(?:" + "|".join(re.escape(c.capitalize()) for c in CUES) + r")s?(?![a-z])|(?:" + _ANY.upper() + r")S?(?![A-Za-z])")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
 _CUE_START = re.compile(r"(?i)[:=]")
 
@@ -53,6 +58,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     spans = [m.span() for m in _TOKEN.finditer(text)] if any(c in text for c in "0123456789") else []
     if ":" in text or "=" in text:
         spans += [m.span(1) for m in _VALUE.finditer(text)]
+    spans += [m.span(1) for m in _BEARER.finditer(text)]
     if "PRIVATE KEY-----" in text:
         spans += [m.span() for m in _BLOCK.finditer(text)]
     spans.sort(key=lambda s: (s[0], -s[1]))
@@ -102,8 +108,8 @@ def features(text: str, start: int, end: int) -> list[float]:
     return [
         math.log(n), entropy, *share, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(min(share[:3]) > 0.05),
         float(all(c in "0123456789abcdefABCDEF" for c in s)), min(run, 40) / 40, _covered(s), min(s.count("/"), 8), min(s.count("."), 8) + after.startswith("."), min(s.count("-") + s.count("_"), 8),
-        float(bool(_UUID.search(text[max(0, start - 1) : end + 1]))), float(bool(_PREFIX.match(s))), float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(before.endswith(('"', "'"))),
-        _has(near, CUES), _has(near, OTHER), _has(after, CUES), float("PRIVATE KEY" in s), len(counts) / n,
+        float(bool(_UUID.search(text[max(0, start - 1) : end + 1]))), float(bool(_PREFIX.match(s))), float(bool(re.search(r"(?i)(?:[:=]>?|\bbearer|\bbasic)\s*[\"']?$", before))), float(before.endswith(('"', "'"))),
+        float(bool(_CUE.search(near))), _has(near, OTHER), float(bool(_CUE.search(after))), float("PRIVATE KEY" in s), len(counts) / n,
     ]
 
 
@@ -122,6 +128,23 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         quote = r.choice(["", '"', "'"])
         return f"{words(3)} {r.choice(CUES)}{r.choice(['=', ' = ', ': ', ':'])}{quote}", value, f"{quote} {words(3)}"
 
+    def keyed(value: str) -> tuple[str, str, str]:
+        """As settings and JSON have it: the cue is part of a name, which may be quoted."""
+        cue = r.choice([c for c in CUES if c != "bearer"])
+        name = r.choice([cue.upper(), cue, cue.capitalize()])
+        name = r.choice(["", "", "DB_", "MYSQL_", "my-", "app.", "user_", "x"]) + name + r.choice(["", "", "", "_1", "_prod", "2", "_value"])
+        quote, mark = r.choice(["", '"', "'"]), r.choice(["", '"', "'"])
+        return f"{words(2)} {r.choice(['', '{', 'export '])}{quote}{name}{quote}{r.choice(['=', ' = ', ': ', ':', ' => '])}{mark}", value, f"{mark}{r.choice(['', '}', ' ' + words(3)])}"
+
+    def borne(value: str) -> tuple[str, str, str]:
+        return f"{words(2)} {r.choice(['Authorization: ', 'authorization: ', '-H ', ''])}{r.choice(['Bearer ', 'bearer '])}", value, f" {words(3)}"
+
+    def password() -> str:
+        return words(1).capitalize()[:5] + draw("mix", 1, 4) + r.choice("!#$%&*@") + draw("mix", 3, 6)
+
+    def spelt() -> str:
+        return "".join({"a": "4", "e": "3", "i": "1", "o": "0"}.get(c, c) if r.random() < 0.7 else c for c in words(2, r.choice(["", "", "!", "&", "_"]))) + r.choice(["", "!", "7"]) + str(r.randint(0, 99))
+
     def alone(value: str) -> tuple[str, str, str]:
         return f"{words(4)} ", value, f" {words(4)}"
 
@@ -132,11 +155,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         lambda: assigned(draw("hex", 16, 64)), lambda: assigned(draw("mix", 10, 48)), lambda: assigned(draw("b64", 20, 60) + r.choice(["", "=", "=="])), lambda: assigned(words(1).capitalize() + draw("mix", 4, 10) + r.choice("!#$%")),
         lambda: alone("AKIA" + draw("up", 16)), lambda: alone(r.choice(["ghp_", "gho_", "xoxb-", "sk_live_", "glpat-", "npm_"]) + draw("mix", 20, 40)), lambda: alone("AIza" + draw("mix", 35)), lambda: assigned("eyJ" + draw("mix", 40, 120)),
         lambda: alone("-----BEGIN RSA PRIVATE KEY-----" + draw("b64", 80, 300) + "-----END RSA PRIVATE KEY-----"), lambda: alone(draw("mix", 40)),
+        lambda: keyed(password()), lambda: keyed(spelt() + draw("mix", 3)), lambda: keyed(draw("hex", 12, 40)), lambda: keyed(draw("mix", 10, 40)), lambda: borne(draw("mix", 8, 40)), lambda: borne(draw("mix", 6, 16) + "." + draw("mix", 2, 30)),
     ]
     false = [
         lambda: named(draw("hex", 32, 64)), lambda: alone("-".join(draw("hex", k) for k in (8, 4, 4, 4, 12))), lambda: named("-".join(draw("hex", k) for k in (8, 4, 4, 4, 12))), lambda: alone("/".join([*(words(1) for _ in range(r.randint(2, 6))), words(1) + str(r.randint(0, 99))])),
         lambda: alone(words(r.randint(4, 8), r.choice(["-", "_"])) + "-" + str(r.randint(1, 999))), lambda: alone("".join(words(1) for _ in range(r.randint(5, 9))) + str(r.randint(0, 99))), lambda: alone("".join(r.choice("0123456789") for _ in range(r.randint(16, 24)))), lambda: named("".join(r.choice("0123456789") for _ in range(r.randint(16, 24)))),
         lambda: alone(f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}_{r.randint(0, 23):02}-{r.randint(0, 59):02}-00"), lambda: assigned(words(1) + words(1) + words(1)), lambda: assigned(r.choice(["required", "changeme", "<password>", "${TOKEN}", "********", "xxxxxxxx", "undefined"])), lambda: alone("=" * 3 + "-" * 20 + "0" * r.randint(4, 12)),
+        lambda: keyed(words(1) + words(1) + words(1)), lambda: keyed(r.choice(["required", "changeme", "<password>", "${TOKEN}", "[SECRET]", "string", "optional", "disabled"])), lambda: borne(words(1) + words(1) + words(1)), lambda: borne(r.choice(["tokens", "certificate", "shares", "authentication", "[SECRET]"])),
+        lambda: (f"{words(3)} {r.choice(['author', 'authors', 'secretary', 'tokenizer', 'authority'])}: ", words(1).capitalize() + words(1) + r.choice(["", ".", "-" + words(1)]), f" {words(3)}"),
     ]
     x, y = [], []
     for i in range(n):

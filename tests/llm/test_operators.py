@@ -369,6 +369,16 @@ def test_secrets(spark):
     assert len(found) == 3 and all(r["end"] > r["start"] for r in found)
 
 
+def test_secrets_in_names_and_headers(spark):
+    held = ["DB_PASSWORD=Tr0ub4dor&3xyz", "MYSQL_PWD: s3cr3t!pass", '{"password": "Tr0ub4dor&3xyz"}', '"api_key": "a1b2c3d4e5f6"', "Authorization: Bearer abcd1234.ef", "dbPassword = 'k9!mPq2#xL'", "PGPASSWORD=hX72kd93ks"]
+    values = ["Tr0ub4dor&3xyz", "s3cr3t!pass", "Tr0ub4dor&3xyz", "a1b2c3d4e5f6", "abcd1234.ef", "k9!mPq2#xL", "hX72kd93ks"]
+    clean = ["author: Shakespeare wrote it", "the secretary: Johnson spoke", "bearer certificates were sold", '{"password": "required"}', "Authorization: Bearer [SECRET]", "token_count: disabled"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(held + clean)]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(spark, rows)).collect()}
+    assert [out[i] for i in range(len(held))] == [t.replace(v, "[SECRET]") for t, v in zip(held, values, strict=True)]
+    assert [out[len(held) + i] for i in range(len(clean))] == clean
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 16)).astype(np.float32)
