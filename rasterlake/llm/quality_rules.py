@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rasterlake.llm.common import text_key
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A line is frequent in a host above this many documents and this share of the host's documents.
+#: A line is frequent in a host above this many documents and, for `judge`, this share of the host's documents.
 LINE_DOCS, LINE_SHARE = 10, 0.002
 #: Contexts a document for a line to be frequent; what share of its words a document must keep.
 CONTEXT_SHARE, KEEP_SHARE = 0.5, 0.3
@@ -102,11 +102,9 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
 
 
 def shared_lines(rows: DataFrame) -> DataFrame:
-    """host, line: what is in more distinct texts than the limits of its host; copies count once, neighbours not at all."""
+    """host, line: what is in more than LINE_DOCS distinct texts of its host, whatever the host's size; copies count once, neighbours not at all."""
     by_text = _lines(rows).where("context is not null").select("host", "line", "k1").distinct()
-    often = by_text.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return often.join(hosts, "host").where(F.col("docs") > LINE_SHARE * F.col("host_docs")).select("host", "line")
+    return by_text.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS).select("host", "line")
 
 
 def depletion(rows: DataFrame, lines: Callable[[DataFrame], DataFrame] = frequent_lines) -> DataFrame:

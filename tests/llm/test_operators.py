@@ -321,6 +321,13 @@ def test_shared_blocks_and_copied_lines(spark):
     assert kept == {i for i, *_ in rows if i >= 300}
 
 
+def test_frequent_lines_of_large_hosts(spark):
+    """A line in 11 documents is frequent in a host of 6000 as in a small one."""
+    common = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{common}\nword{i}", "en", "large") for i in range(11)] + [(100 + i, f"w{i}", "en", "large") for i in range(6000)]
+    assert quality_rules.keep_good(frame(spark, rows)).count() == 0
+
+
 def test_language_model(docs, corpus):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     rows = language_model.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), 10) == 0, vocabulary_size=40).toPandas()
