@@ -96,7 +96,7 @@ _PREFIX = re.compile(r"AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|gh[pousr]_|github_pat
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    s = text[start:end][:4096]
+    s = text[start:end]
     n = len(s)
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
     kinds = [_kind(c) for c in s]

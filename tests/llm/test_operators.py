@@ -386,6 +386,13 @@ def test_secrets_in_names_and_headers(spark):
     assert [out[len(held) + i] for i in range(len(clean))] == clean
 
 
+def test_features_of_long_candidates():
+    """All of a long candidate counts, not its first 4096 characters."""
+    text = "a" * 5000 + "B7" * 2500
+    found = dict(zip(secret_scan.FEATURES, secret_scan.features(text, 0, len(text)), strict=True))
+    assert found["log length"] == math.log(10_000) and (found["lower"], found["upper"], found["digits"]) == (0.5, 0.25, 0.25)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 16)).astype(np.float32)
