@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words: space and the ASCII controls tab to carriage return.
@@ -53,6 +54,24 @@ def text_key() -> list:
     ]
 
 
+#: Buckets by which rows are told apart cheaply before a join.
+BUCKETS = 1 << 20
+
+
+def bucket(*key: str | Column) -> Column:
+    """One of BUCKETS numbers. A table of them has a row for each at most, so it may be broadcast whatever the keys' number; rows whose bucket
+    isn't in it need not go through the join on the keys themselves."""
+    return F.pmod(F.xxhash64(*key), BUCKETS).cast("int")
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `most` bytes, so that what Python makes of a part doesn't hang on how many rows a batch has."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; null is empty. bytes.split() and bytes.lower() know ASCII only, as the contracts ask."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
