@@ -6,7 +6,8 @@ sequence around a document (alone, with one partner, with two), then best-fit in
 whole classes of equal documents at once. Documents get their places by their rank among those of equal length; ranks are counted
 within salted buckets of a length, so that a length that many documents share is no one's group.
 
-A null or empty text is a document of the single id 0; repeated rows are packed twice; null doc_ids are kept; other columns are ignored.
+A null or empty text is a document of the single id 0; texts, words and white space of any length are encoded whole; repeated rows are packed
+twice; null doc_ids are kept; other columns are ignored; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -17,27 +18,31 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import checkpointed, texts
+from rasterlake.llm.common import checkpointed, slices, texts
 
 CAPACITY = 2048
 #: Ids that a worker remembers for words, in entries.
 REMEMBERED = 400_000
 
 
+#: White space or a word of such a length goes to the tokenizer itself: the fast encoder recurses on the one and is quadratic on the other.
+_LONG = re.compile(r"\s{128}|\S{1024}")
 _LOOSE = re.compile(r" \s")
 
 
 class Words(dict):
-    """The ids, as little-endian bytes, of a word with the space before it.
+    """The ids, as little-endian bytes, of a word with the space before it; always those that the tokenizer gives for the whole text.
 
     The vocabulary's pattern never joins what stands on both sides of a single space, but for the space itself, so texts without a space
-    before other white space can be encoded word by word, and most words are met again. Other texts are encoded as a whole.
+    before other white space can be encoded word by word, and most words are met again. Other texts are encoded as a whole; those with the string of
+    an added token, or with very long words or white space, by the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
@@ -45,13 +50,12 @@ class Words(dict):
         import tiktoken
         from tokenizers import Tokenizer
 
+        tokenizer = Tokenizer.from_file(vocabulary)
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         ranks, pattern = read_vocabulary(vocabulary)
-        if ranks:
-            self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            tok = Tokenizer.from_file(vocabulary)
-            tok.encode_special_tokens = True
-            self.encode = lambda text: tok.encode(text, add_special_tokens=False).ids
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else self.whole
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -62,6 +66,8 @@ class Words(dict):
         return out
 
     def ids(self, text: str) -> bytes:
+        if self.special and self.special.search(text) or _LONG.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
         if not text or text[-1] == " " or _LOOSE.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, _, rest = text.partition(" ")
@@ -69,6 +75,12 @@ class Words(dict):
         return start + b"".join(map(self.__getitem__, rest.split(" "))) if _ else start
 
 
+@lru_cache(maxsize=1)
+def words_of(vocabulary: str) -> Words:
+    """A worker's vocabulary, with what it remembers, serves one task after the other."""
+    return Words(vocabulary)
+
+
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], str]:
     """The same byte-level vocabulary as ranks, which encodes faster, if it lies beside the tokenizer's file."""
     import os
@@ -90,8 +102,8 @@ def vocabulary_path() -> str:
 
 def _pieces(vocabulary: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary or vocabulary_path())
-        for batch in batches:
+        words = words_of(vocabulary or vocabulary_path())
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
                 ids = words.ids(text) + b"\0\0\0\0"
