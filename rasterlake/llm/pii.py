@@ -9,7 +9,8 @@ Base kinds, as leftmost non-overlapping matches: email `[A-Za-z0-9._%+-]+@[A-Za-
 phone `\\+[0-9][\\x20().0-9-]+[0-9]` of 10 to 15 digits. Beyond them: url (scheme and host) and iban (ISO 13616 check digits).
 
 A null or empty text has no spans; repeated rows are treated alike; null doc_ids are kept; other columns are ignored by `find` and
-kept by `redact`. A text of any length is read once; a span's work is in proportion to its length.
+kept by `redact`. A text of any length is read once: no parser goes beyond the next anchor of its kind unless it has a match, whose end the
+scan then starts from.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import texts
+from rasterlake.llm.common import slices, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban")
@@ -31,7 +32,8 @@ ALNUM = DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ
 LOCAL, LABEL = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 SCHEME = ALNUM | frozenset("+.-")
-#: What ends a URL besides white space.
+#: What may not end a URL, and what ends it besides white space.
+URL_TAIL = frozenset(".,;:!?)")
 URL_ENDS = frozenset(" \t\n\x0b\x0c\r<>\"'`{}|\\^[]")
 
 Span = tuple[str, int, int]
@@ -139,15 +141,27 @@ def _phone(t: str, plus: int) -> tuple[int, int, bool] | None:
 
 
 def _url(t: str, colon: int) -> tuple[int, int, bool] | None:
-    start, end, n = colon, colon + 3, len(t)
+    """The host is judged first; it ends at the next slash at the latest, so a text of many schemes and no host is still read once."""
+    start, stop, n = colon, colon + 3, len(t)
+    while start and colon - start < 2 and t[start - 1] in SCHEME:
+        start -= 1
+    while stop < n and t[stop] != "/" and t[stop] not in URL_ENDS:
+        stop += 1
+    last = stop
+    if stop == n or t[stop] != "/":
+        while last > colon + 3 and t[last - 1] in URL_TAIL:
+            last -= 1
+    host = t[colon + 3 : last].rpartition("@")[2].partition(":")[0]
+    if colon - start < 2 or "." not in host.strip(".") or not all(c in LABEL or c == "." for c in host):
+        return None
     while start and t[start - 1] in SCHEME:
         start -= 1
+    end = stop
     while end < n and t[end] not in URL_ENDS:
         end += 1
-    while end > colon + 3 and t[end - 1] in ".,;:!?)":
+    while end > colon + 3 and t[end - 1] in URL_TAIL:
         end -= 1
-    host = t[colon + 3 : end].partition("/")[0].rpartition("@")[2].partition(":")[0]
-    return (start, end, True) if colon - start >= 2 and "." in host.strip(".") and all(c in LABEL or c == "." for c in host) else None
+    return start, end, True
 
 
 def _iban(t: str, at: int) -> tuple[int, int, bool] | None:
@@ -158,6 +172,8 @@ def _iban(t: str, at: int) -> tuple[int, int, bool] | None:
     while p < n and len(got) < 34 and (t[p] in ALNUM or (t[p] == " " and p + 1 < n and t[p + 1] in ALNUM)):
         got += t[p].strip()
         p += 1
+        if len(got) == 4 and not (got[:2].isupper() and got[2:].isdigit()):
+            return None
         if len(got) >= 15 and got[:2].isalpha() and got[:2].isupper() and got[2:4].isdigit() and (p == n or t[p] not in ALNUM):
             number = "".join(str(int(c, 36)) for c in got[4:] + got[:4])
             if int(number) % 97 == 1:
@@ -205,7 +221,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KI
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = automaton()
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
             spans = scan(text, anchors)
