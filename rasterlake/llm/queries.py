@@ -63,11 +63,10 @@ rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i +
 raw AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 cl AS (SELECT rid, host, list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]{2,}|[\x09\x0B-\x0D]', ' ', 'g'), ' ')), lambda x: x <> '') AS l FROM d),
-ln AS (SELECT rid, host, l[i] AS line, i, coalesce(l[i-1], '') || chr(10) || coalesce(l[i+1], '') AS ctx FROM (SELECT rid, host, l, unnest(range(1, len(l) + 1)) AS i FROM cl)),
-one AS (SELECT *, len(string_split(line, ' ')) AS words, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS occ FROM ln),
-often AS (SELECT host, line FROM one WHERE occ = 1 GROUP BY host, line HAVING count(*) > 10 AND count(DISTINCT ctx) > 0.5 * count(*)
-  AND count(*) > 0.002 * (SELECT count(*) FROM d WHERE d.host = one.host)),
-hit AS (SELECT rid, sum(words) AS n FROM one SEMI JOIN often ON one.host = often.host AND one.line = often.line GROUP BY rid),
+one AS (SELECT rid, host, unnest(l) AS line FROM cl),
+docs AS (SELECT rid, dense_rank() OVER (ORDER BY text) AS doc FROM d),
+often AS (SELECT host, line FROM one JOIN docs USING (rid) GROUP BY host, line HAVING count(DISTINCT doc) > 10),
+hit AS (SELECT rid, sum(len(string_split(line, ' '))) AS n FROM one SEMI JOIN often ON one.host = often.host AND one.line = often.line GROUP BY rid),
 b AS (SELECT t.rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(hit.n, 0) AS f, hit.n IS NOT NULL AS h
   FROM t LEFT JOIN rep ON t.rid = rep.rid LEFT JOIN dup ON t.rid = dup.rid LEFT JOIN hit ON t.rid = hit.rid)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
