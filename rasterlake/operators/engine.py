@@ -27,7 +27,7 @@ _PIXELS = struct(
     "min_channel array<double>, max_channel array<double>, mean_channel array<double>, entropy double, entropy_full double, compression_ratio double, top_colors array<struct<rgb: int, percent: double>>"
 )
 RECORD_SCHEMA = struct(
-    "path string, name string, folder string, file_size bigint, bytes_read bigint, format string, extension_name string, extension_mismatch boolean, signature binary, width int, height int, geometry_valid boolean, "
+    "path string, name string, folder string, root_ordinal int, file_size bigint, bytes_read bigint, format string, extension_name string, extension_mismatch boolean, signature binary, width int, height int, geometry_valid boolean, "
     "bits_per_pixel int, sample_depth int, channels int, color_model string, dpi_x double, dpi_y double, dpi_known boolean, resolution_unit string, compression string, compression_code string, check string, "
     "problems array<struct<code: string, severity: string, message: string>>, details array<struct<group: string, name: string, value: string>>, frames array<struct<left: int, top: int, width: int, height: int, interlaced: boolean, local: int, delay: int, disposal: int, bytes: bigint>>, "
     "chunks map<string, int>, tags array<struct<tag: int, type: int, count: bigint, ints: array<bigint>, reals: array<double>, ascii: string, offset_valid: boolean>>, pixels_analyzed boolean"
@@ -50,15 +50,15 @@ def _int(v: int) -> int:
     return max(-(2**31), min(2**31 - 1, int(v)))
 
 
-def analyse(path: str, reader: Reader | None, deep: bool = False, limits: Limits | None = None, error: str = "") -> dict:
-    """One record of RECORD_SCHEMA. reader: None if the file can't be opened, for the reason in error."""
+def analyse(path: str, reader: Reader | None, deep: bool = False, limits: Limits | None = None, error: str = "", code: str = "OPEN") -> dict:
+    """One record of RECORD_SCHEMA. reader: None if the file can't be opened, for the reason in error; code ROOT: path is a root that can't be listed."""
     folder, name = os.path.split(path)
     ext = os.path.splitext(name)[1]
     known = L.EXTENSIONS.get(ext[1:].lower(), "")
     head = reader.read(0, 64) if reader else b""
     fmt, record, pixels = detect(head), Record(), None
     if reader is None:
-        record.problem("OPEN", "CORRUPTED", f"file can't be opened: {error}")
+        record.problem(code, "CORRUPTED", f"root can't be listed: {error}" if code == "ROOT" else f"file can't be opened: {error}")
     elif not reader.size or fmt == "NOT_IMAGE":
         record.check = "NOT_IMAGE"
         why = "file is empty" if not reader.size else f"no signature of a known format, though the extension names {known}" if known else "no signature of a known format"
@@ -78,7 +78,7 @@ def analyse(path: str, reader: Reader | None, deep: bool = False, limits: Limits
             except Exception as e:
                 record.problem("DEEP", "CORRUPTED", f"pixels can't be decoded: {e if isinstance(e, Broken) else type(e).__name__}")
     return {
-        "path": path, "name": name, "folder": folder, "file_size": reader.size if reader else 0, "bytes_read": reader.bytes_read if reader else 0, "format": fmt, "extension_name": known if reader else ext, "extension_mismatch": bool(known) and bool(reader) and known != fmt,
+        "path": path, "name": name, "folder": folder, "root_ordinal": None, "file_size": reader.size if reader else 0, "bytes_read": reader.bytes_read if reader else 0, "format": fmt, "extension_name": known if reader else ext, "extension_mismatch": bool(known) and bool(reader) and known != fmt,
         "signature": head[:8].ljust(8, b"\0"), "width": _int(record.width), "height": _int(record.height), "geometry_valid": record.width > 0 and record.height > 0, "bits_per_pixel": _int(record.bits_per_pixel), "sample_depth": _int(record.sample_depth), "channels": _int(record.channels),
         "color_model": record.color_model, "dpi_x": record.dpi_x, "dpi_y": record.dpi_y, "dpi_known": record.dpi_x is not None, "resolution_unit": record.resolution_unit, "compression": record.compression, "compression_code": record.compression_code, "check": record.check,
         "problems": [dict(zip(("code", "severity", "message"), p, strict=True)) for p in record.problems], "details": [dict(zip(("group", "name", "value"), d, strict=True)) for d in record.details], "frames": record.frames, "chunks": record.chunks,
@@ -121,13 +121,13 @@ def analyse_contents(files: DataFrame, deep: bool = False, limits: Limits | None
     return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
-def scan(spark: SparkSession, roots: str | list[str], recursive: bool = True, deep: bool = False, extensions: tuple[str, ...] | None = L.DEFAULT_EXTENSIONS, dedupe: bool = False, **limits: int) -> DataFrame:
-    """Records of all files under the roots."""
+def scan(spark: SparkSession, roots: str | list[str], recursive: bool = True, deep: bool = False, extensions: tuple[str, ...] | None = L.DEFAULT_EXTENSIONS, dedupe: bool = False, follow_links: bool = False, listing: str = "driver", **limits: int) -> DataFrame:
+    """Records of all files under the roots, and one for each root that can't be listed. listing: driver, or executors for large collections."""
     from rasterlake.sources.images import register
 
     register(spark)
     roots = [roots] if isinstance(roots, str) else list(roots)
-    options = {"recursive": str(recursive).lower(), "deep": str(deep).lower(), "extensions": ",".join(extensions or ()), "dedupe": str(dedupe).lower(), "roots": "\n".join(roots)} | {k: str(v) for k, v in limits.items()}
+    options = {"recursive": str(recursive).lower(), "deep": str(deep).lower(), "extensions": ",".join(extensions or ()), "dedupe": str(dedupe).lower(), "followSymlinks": str(follow_links).lower(), "listing": listing, "roots": "\n".join(roots)} | {k: str(v) for k, v in limits.items()}
     return spark.read.format("raster_files").options(**options).load()
 
 
@@ -166,6 +166,11 @@ def by_name(records: DataFrame) -> DataFrame:
     return records.orderBy("name", "path")
 
 
+def by_root(records: DataFrame) -> DataFrame:
+    """In the order of the roots, then by path, as a listing has it."""
+    return records.orderBy("root_ordinal", "path")
+
+
 def record_at(records: DataFrame, k: int) -> DataFrame:
     """The k-th row (from 0) by name."""
     return by_name(records).offset(k).limit(1)
@@ -196,6 +201,13 @@ def frame_rollup(records: DataFrame) -> DataFrame:
     )
 
 
+def add_rollups(rollups: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key of roll-ups of parts of it."""
+    return rollups.groupBy(*keys).agg(
+        F.sum("frames").cast("int").alias("frames"), F.min("delay_min").alias("delay_min"), F.max("delay_max").alias("delay_max"), F.sum("delay_sum").alias("delay_sum"), F.max("largest_local_palette").alias("largest_local_palette"), F.bool_or("any_interlaced").alias("any_interlaced"),
+    )
+
+
 def chunk_census(records: DataFrame) -> DataFrame:
     return records.select("path", F.explode(F.map_entries("chunks")).alias("c")).select("path", F.col("c.key").alias("chunk"), F.col("c.value").alias("n"))
 
@@ -212,14 +224,30 @@ def tags(records: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(tag_table(records.sparkSession)), "tag", "left").withColumn("type_name", types)
 
 
+#: Ranges of one key that one task sorts; a key with more is split by place.
+SPLIT = 200_000
+
+
 def interval_union(ranges: DataFrame, start: str, end: str, *keys: str) -> DataFrame:
-    """Length of the union of half-open ranges [start, end) for each key: the relational form of a reader's account."""
+    """Length of the union of half-open ranges [start, end) for each key: the relational form of a reader's account.
+
+    Keys with more than SPLIT ranges are split into slices of their span; a range is cut where it runs over a slice's end, so slices add up."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), F.coalesce(before, F.col(start))))
-    return ranges.where(F.col(end) > F.col(start)).withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").alias("covered"))
+    rows = ranges.where(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b"))
+    kind = rows.schema["_a"].dataType
+    large = rows.groupBy(*keys).agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi"), F.ceil(F.count("*") / SPLIT).alias("_parts")).where("_parts > 1")
+    large = large.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_lo", "_parts", F.ceil((F.col("_hi") - F.col("_lo")) / F.col("_parts")).cast(kind).alias("_width"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(large[f"_k{i}"])
+    slice_of = lambda at: F.floor((at - F.col("_lo")) / F.col("_width"))
+    cut = rows.join(large, same, "left").withColumn("_slice", F.explode(F.when(F.col("_parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(slice_of(F.col("_a")), F.least(slice_of(F.col("_b")), F.col("_parts"))))))
+    low = F.col("_lo") + (F.col("_slice") * F.col("_width")).cast(kind)
+    cut = cut.select(*keys, "_slice", F.greatest("_a", low).alias("_a"), F.least("_b", low + F.col("_width")).alias("_b")).where("_b > _a")
+    before = F.max("_b").over(Window.partitionBy(*keys, "_slice").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce(before, F.col("_a"))))
+    return cut.withColumn("_new", new).groupBy(*keys).agg(F.sum("_new").alias("covered"))
 
 
 def register_views(records: DataFrame, prefix: str = "images") -> None:

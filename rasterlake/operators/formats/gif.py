@@ -7,27 +7,28 @@ import re
 import numpy as np
 
 from rasterlake.operators.codecs import lzw_gif
-from rasterlake.operators.reader import Broken, Cursor, Limits, Reader, Record
+from rasterlake.operators.reader import Broken, Cursor, Limits, Reader, Record, Window
 
-MAX_FRAMES = 20_000
 
-
-def _blocks(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """A chain of sub-blocks and the place behind it; None if it is cut off."""
-    out = []
-    while at < len(data):
+def _blocks(data: bytes | Window, at: int, keep: bool = True) -> tuple[bytes | None, int, int]:
+    """A chain of sub-blocks (None if it is cut off, empty if it need not be kept), the place behind it and its length."""
+    out, total, end = [], 0, len(data)
+    while at < end:
         n = data[at]
         if n == 0:
-            return b"".join(out), at + 1
-        if at + 1 + n > len(data):
-            return None, len(data)
-        out.append(data[at + 1 : at + 1 + n])
+            return b"".join(out), at + 1, total
+        if at + 1 + n > end:
+            return None, end, total
+        if keep:
+            out.append(data[at + 1 : at + 1 + n])
+        total += n
         at += 1 + n
-    return None, len(data)
+    return None, end, total
 
 
-def walk(data: bytes) -> dict:
-    c = Cursor(data, at=6)
+def walk(data: bytes | Window, pixels: bool = False) -> dict:
+    """All blocks of a file; the first frame's data only if pixels are wanted. Of a window, one block is held at a time."""
+    c = Cursor(data[6:13])
     g = {"width": c.u16(), "height": c.u16(), "flags": c.u8(), "background": c.u8(), "aspect": c.u8(), "frames": [], "comment": "", "application": "", "loop": None, "trailer": False, "broken": False}
     table = 3 << ((g["flags"] & 7) + 1) if g["flags"] & 0x80 else 0
     g["palette"] = data[13 : 13 + table]
@@ -40,7 +41,7 @@ def walk(data: bytes) -> dict:
             break
         if kind == 0x21 and at + 1 < len(data):
             label = data[at + 1]
-            body, at = _blocks(data, at + 2)
+            body, at, _ = _blocks(data, at + 2)
             if body is None:
                 g["broken"] = True
                 break
@@ -53,7 +54,7 @@ def walk(data: bytes) -> dict:
                 if body[:11] in (b"NETSCAPE2.0", b"ANIMEXTS1.0") and len(body) >= 14:
                     g["loop"] = body[12] | body[13] << 8
         elif kind == 0x2C:
-            c = Cursor(data, at=at + 1)
+            c = Cursor(data[at + 1 : at + 11 + 768])
             f = {"left": c.u16(), "top": c.u16(), "width": c.u16(), "height": c.u16(), "flags": c.u8()}
             local = 3 << ((f["flags"] & 7) + 1) if f["flags"] & 0x80 else 0
             f["palette"] = c.take(local)
@@ -61,11 +62,12 @@ def walk(data: bytes) -> dict:
             if not c.ok:
                 g["broken"] = True
                 break
-            body, at = _blocks(data, c.at)
-            f |= {"data": body if not g["frames"] else b"", "bytes": len(body or b""), "interlaced": bool(f["flags"] & 0x40), "local": local // 3} | {"disposal": 0, "transparent": None, "delay": None} | control
+            first = not g["frames"]
+            body, at, size = _blocks(data, at + 1 + c.at, pixels and first)
+            f |= {"data": body if first else b"", "bytes": 0 if body is None else size, "interlaced": bool(f["flags"] & 0x40), "local": local // 3} | {"disposal": 0, "transparent": None, "delay": None} | control
             control = {}
             g["frames"].append(f)
-            if body is None or len(g["frames"]) >= MAX_FRAMES:
+            if body is None:
                 g["broken"] = True
                 break
         else:
@@ -77,7 +79,7 @@ def walk(data: bytes) -> dict:
 def parse(reader: Reader, record: Record) -> None:
     if reader.size < 13:
         return record.problem("GIF_SHORT", "CORRUPTED", "file is too short for a GIF header")
-    data = reader.all(reader.size)
+    data = Window(reader)
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         return record.problem("GIF_HEADER", "CORRUPTED", "no GIF header")
     g = walk(data)
@@ -125,7 +127,7 @@ def parse(reader: Reader, record: Record) -> None:
 
 def decode(reader: Reader, record: Record, limits: Limits) -> np.ndarray:
     limits.compressed(reader.size)
-    g = walk(reader.all(reader.size))
+    g = walk(Window(reader), pixels=True)
     if not g["frames"] or g["frames"][0]["data"] is None:
         raise Broken("no whole frame")
     f = g["frames"][0]

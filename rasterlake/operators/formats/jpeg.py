@@ -7,11 +7,13 @@ import struct
 import numpy as np
 
 from rasterlake.functions import labels as L
-from rasterlake.operators.reader import Broken, Cursor, Limited, Limits, Reader, Record
+from rasterlake.operators.reader import Broken, Cursor, Limited, Limits, Reader, Record, Window
 
 FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
-#: How far the header is searched, and how many stray bytes between segments are put up with.
-HEADER_LIMIT, STRAY = 1 << 20, 4096
+#: How many stray bytes between segments are put up with.
+STRAY = 4096
+#: Segments whose payload the header needs.
+READ = frozenset((0xC4, 0xDA, 0xDB, 0xDD, 0xE0, 0xE1, 0xE2, 0xEE, 0xFE)) | FRAMES
 
 
 def _zigzag() -> np.ndarray:
@@ -26,7 +28,7 @@ _K = np.arange(8)
 IDCT = np.cos((2 * _K[:, None] + 1) * _K * np.pi / 16) * np.where(_K == 0, np.sqrt(1 / 8), 0.5)
 
 
-def segments(data: bytes):
+def segments(data: bytes | Window):
     """(marker, offset of the payload, payload length) up to and with the first scan; a length below 2 or a cut gives length -1."""
     at, n = 2, len(data)
     while at + 1 < n:
@@ -82,11 +84,9 @@ def _sampling(factors: list[tuple[int, int]]) -> str:
 
 
 def parse(reader: Reader, record: Record) -> None:
-    data = reader.read(0, 32 * 1024)
+    data = Window(reader)
     if data[:2] != b"\xff\xd8":
         return record.problem("JPEG_SOI", "CORRUPTED", "no SOI")
-    while reader.size > len(data) < HEADER_LIMIT and not any(m == 0xDA for m, _, _ in segments(data)):
-        data += reader.read(len(data), 64 * 1024)
     frame = None
     scan, tables, huffman, quantum, restart = False, 0, 0, None, 0
     names: list[str] = []
@@ -98,7 +98,7 @@ def parse(reader: Reader, record: Record) -> None:
         if length < 0:
             record.problem("JPEG_SEGMENT_CUT", "CORRUPTED", f"segment {marker:02X} is cut off")
             break
-        body = data[at : at + length]
+        body = data[at : at + length] if marker in READ else b""
         if marker == 0xE0 and body[:5] == b"JFIF\0" and len(body) >= 12:
             unit, x, y = struct.unpack(">BHH", body[7:12])
             if unit in (1, 2) and x and y:

@@ -10,9 +10,8 @@ from rasterlake.functions import labels as L
 from rasterlake.operators.codecs import inflate, lzw_tiff, packbits, unpack_bits
 from rasterlake.operators.reader import Broken, Limited, Limits, Reader, Record
 
+#: Pages that are read, tags that a page may have, characters of a text that are shown.
 MAX_PAGES, MAX_TAGS, MAX_TEXT = 64, 4096, 160
-#: Values of one tag that are read at most: strips of very tall pictures.
-MAX_VALUES = 1 << 20
 _FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 
@@ -89,7 +88,7 @@ def directories(reader: Reader, record: Record | None = None) -> tuple[str, int,
             tag, kind = struct.unpack(order + "HH", e[:4])
             count = struct.unpack(order + ("Q" if big else "I"), e[4 : 4 + inline])[0]
             each = L.TIFF_TYPES.get(kind, ("", 0))[1]
-            value, total, valid = e[-inline:], each * min(count, MAX_VALUES), True
+            value, total, valid = e[-inline:], each * count, True
             if each * count > inline:
                 where = struct.unpack(order + ("Q" if big else "I"), value)[0]
                 valid = where + each * count <= reader.size

@@ -45,6 +45,29 @@ class Reader:
             self._file.close()
 
 
+class Window:
+    """A file's bytes by place, as a bytes object gives them, read in blocks; only the block at hand is kept."""
+
+    def __init__(self, reader: Reader, block: int = 32 * 1024):
+        self.reader, self.block, self.start, self.held = reader, block, 0, b""
+
+    def __len__(self) -> int:
+        return self.reader.size
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        if isinstance(at, slice):
+            a, b, _ = at.indices(len(self))
+            if b - a > self.block:
+                return self.reader.read(a, b - a)
+            return self._at(a, b)[a - self.start : b - self.start] if b > a else b""
+        return self._at(at, at + 1)[at - self.start]
+
+    def _at(self, a: int, b: int) -> bytes:
+        if a < self.start or b > self.start + len(self.held):
+            self.start, self.held = a, self.reader.read(a, max(self.block, b - a))
+        return self.held
+
+
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):

@@ -182,8 +182,12 @@ def dpi_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("dpi_conversion", dpi_conversion, "SELECT p_partkey, round(p_size * 100.0::DOUBLE * 0.0254::DOUBLE, 6) AS from_metres, round(p_size * 2.54::DOUBLE, 6) AS from_cm, round(CASE WHEN p_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE / (p_partkey % 5) END, 6) AS ratio FROM part")
 
 
+#: Frames of one animation.
+FRAMES = 5000
+
+
 def frame_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An animation for each user, a frame for each event."""
+    """A frame for each event, in one animation for each user or, of users with many events, in several."""
     from collections.abc import Iterator
 
     import numpy as np
@@ -198,9 +202,14 @@ def frame_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
     delay = F.least(F.lit(60000), F.greatest(F.lit(0), F.floor("value"))).cast("int")
-    files = B.table(spark, sf_dir, "events").where("user_id is not null and value is not null").groupBy("user_id").agg(F.collect_list(delay).alias("delays")).select(F.concat(F.col("user_id").cast("string"), F.lit(".gif")).alias("path"), "delays")
+    events = B.table(spark, sf_dir, "events").where("user_id is not null and value is not null").select("user_id", "event_id", delay.alias("delay"))
+    # a user's events make as many animations as keep each of them small
+    parts = events.groupBy("user_id").agg(F.ceil(F.count("*") / FRAMES).alias("parts")).where("parts > 1")
+    dealt = events.join(parts, "user_id", "left").withColumn("part", F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1))))
+    files = dealt.groupBy("user_id", "part").agg(F.collect_list("delay").alias("delays")).select(F.concat_ws(".", F.col("user_id").cast("string"), F.col("part").cast("string"), F.lit("gif")).alias("path"), "delays")
     r = engine.frame_rollup(engine.analyse_contents(files.mapInArrow(run, "path string, content binary")))
-    return r.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("user_id"), "frames", "delay_min", "delay_max", "delay_sum", "any_interlaced")
+    r = engine.add_rollups(r.withColumn("user_id", F.regexp_extract("path", "^([0-9]+)", 1).cast("long")), "user_id")
+    return r.select("user_id", "frames", "delay_min", "delay_max", "delay_sum", "any_interlaced")
 
 
 _add("frame_rollup", frame_rollup, """

@@ -161,3 +161,73 @@ def test_cursor_fails_softly():
 def test_interval_union(spark):
     df = spark.createDataFrame([("a", 0, 10), ("a", 5, 8), ("a", 20, 25), ("a", 25, 30), ("b", 1, 1), ("b", 2, 4)], "k string, s int, e int")
     assert {r["k"]: r["covered"] for r in engine.interval_union(df, "s", "e", "k").collect()} == {"a": 20, "b": 2}
+
+
+def test_interval_union_of_split_keys(spark, monkeypatch):
+    """Keys with many ranges are cut into slices; null keys are keys; the sums are those of one sorted pass."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(a), int(a + n)) for k, size in (("hot", 900), (None, 300), ("small", 5)) for a, n in zip(rng.integers(-500, 5000, size), rng.integers(0, 60, size), strict=True)]
+    rows.append(("hot", -400, 4000))
+    want: dict = {}
+    for k, a, b in rows:
+        want.setdefault(k, set()).update(range(a, b))
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    for split in (200_000, 50):
+        monkeypatch.setattr(engine, "SPLIT", split)
+        assert {r["k"]: r["covered"] for r in engine.interval_union(df, "s", "e", "k").collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_a_bad_root_leaves_the_others(spark, folder):
+    rows = engine.scan(spark, [folder + "/sub", "/no/such/root", folder]).collect()
+    bad = [r for r in rows if r["path"] == "/no/such/root"]
+    assert len(bad) == 1 and bad[0]["check"] == "CORRUPTED" and bad[0]["problems"][0]["code"] == "ROOT" and bad[0]["root_ordinal"] == 1
+    assert sorted(r["root_ordinal"] for r in rows) == [0] * 2 + [1] + [2] * 7
+    ordered = [r["path"] for r in engine.by_root(engine.scan(spark, [folder, folder + "/sub"])).collect()]
+    assert ordered == [p for root in (folder, folder + "/sub") for p, _ in listing(root)]
+
+
+def test_links_are_followed_once(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bmp").write_bytes(E.bmp24(RGB))
+    (tmp_path / "a" / "loop").symlink_to(tmp_path / "a")
+    (tmp_path / "b").symlink_to(tmp_path / "a")
+    assert engine.scan(spark, str(tmp_path)).count() == 1
+    assert engine.scan(spark, str(tmp_path / "b"), follow_links=True).count() == 1
+
+
+def test_executors_list(spark, folder):
+    whole = sorted((r["path"], r["check"]) for r in engine.scan(spark, [folder, "/no/root"]).collect())
+    assert sorted((r["path"], r["check"]) for r in engine.scan(spark, [folder, "/no/root"], listing="executors").collect()) == whole
+
+
+def test_stream_offsets_are_times(spark, tmp_path):
+    """Each file comes once, over restarts of the stream too; a new checkpoint starts anew; the offset is one number."""
+    import json
+    import time
+
+    place, state, got = tmp_path / "in", tmp_path / "state", []
+    place.mkdir()
+
+    def run(checkpoint):
+        time.sleep(0.2)
+        live.deliver(live.stream(spark, [str(place)]), lambda df, n: got.extend(r["name"] for r in df.select("name").collect()), str(checkpoint)).awaitTermination()
+
+    for name in ("a.bmp", "b.bmp"):
+        (place / name).write_bytes(E.bmp24(RGB))
+    run(state)
+    run(state)
+    (place / "c.bmp").write_bytes(E.bmp24(RGB))
+    run(state)
+    assert sorted(got) == ["a.bmp", "b.bmp", "c.bmp"]
+    last = sorted((state / "offsets").glob("[0-9]*"), key=lambda p: int(p.name))[-1].read_text().splitlines()[-1]
+    assert list(json.loads(last)) == ["until"]
+    got.clear()
+    run(tmp_path / "other")
+    assert sorted(got) == ["a.bmp", "b.bmp", "c.bmp"]
+
+
+def test_stopped_stream_keeps_what_it_counted(spark, folder):
+    q = live.progress(live.stream(spark, [folder]), "stopped_counts")
+    q.processAllAvailable()
+    q.stop()
+    assert not q.isActive and spark.table("stopped_counts").first()["done"] == 7

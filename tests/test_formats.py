@@ -116,3 +116,23 @@ def test_top_down_bmp_and_bit_fields():
     assert (pixels(head + body.tobytes()) == RGB).all()
     record = analyse_bytes("a.bmp", head + body.tobytes())
     assert (record["height"], round(record["dpi_x"], 3), record["check"]) == (h, 72.009, "OK")
+
+
+def test_animations_of_any_length():
+    """Frames aren't capped, and a header scan holds one block of the file."""
+    frame = np.zeros((2, 2), np.uint8)
+    for n in (20_000, 20_005):
+        record = analyse_bytes("a.gif", E.gif([frame] * n, PALETTE, [1] * n))
+        assert (record["check"], len(record["frames"])) == ("OK", n)
+
+
+def test_long_jpeg_headers():
+    """Segments before the frame may be longer than any window; their payload isn't read."""
+    import struct
+
+    data = E.jpeg(RGB)
+    for k in (1, 40):
+        padded = data[:2] + (b"\xff\xed" + struct.pack(">H", 65_000) + b"\0" * 64_998) * k + data[2:]
+        record = analyse_bytes("a.jpg", padded)
+        assert (record["check"], record["width"], record["height"]) == ("OK", 37, 23) and record["bytes_read"] < 40_000 + k * 33_000
+        assert (pixels(padded) == pixels(data)).all()
