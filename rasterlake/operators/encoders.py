@@ -39,6 +39,42 @@ def bmp_rle8(index: np.ndarray, palette: np.ndarray) -> bytes:
     return struct.pack("<2sIIIIiiHHIIiiII", b"BM", offset + len(body), 0, offset, 40, w, h, 1, 8, 1, len(body), 0, 0, 256, 0) + table.tobytes() + bytes(body)
 
 
+def bmp_rle4(index: np.ndarray, palette: np.ndarray) -> bytes:
+    """index: (height, width) below 16; palette: 16 x 3. Runs of three or more are runs, of index 0 within a row jumps, the rest literals."""
+    h, w = index.shape
+    body = bytearray()
+
+    def literal(values: list[int]) -> None:
+        if len(values) < 3:  # a literal has three values at least
+            for v in values:
+                body.extend((1, v << 4))
+            return
+        body.extend((0, len(values)))
+        packed = bytes(a << 4 | b for a, b in zip(values[::2], [*values[1::2], 0], strict=False))
+        body.extend(packed + b"\0" * (len(packed) % 2))
+
+    for row in index[::-1].tolist():
+        x, waiting = 0, []
+        while x < w:
+            n = 1
+            while x + n < w and n < 255 and row[x + n] == row[x]:
+                n += 1
+            if n < 3 and len(waiting) + n <= 255:
+                waiting += row[x : x + n]
+            else:
+                literal(waiting)
+                waiting = []
+                body.extend((0, 2, n, 0) if row[x] == 0 and x + n < w else (n, row[x] * 17))
+            x += n
+        literal(waiting)
+        body.extend(b"\0\0")
+    body += b"\0\1"
+    table = np.zeros((16, 4), np.uint8)
+    table[: len(palette), 2::-1] = palette
+    offset = 54 + 64
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", offset + len(body), 0, offset, 40, w, h, 1, 4, 2, len(body), 0, 0, 16, 0) + table.tobytes() + bytes(body)
+
+
 def png_chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 

@@ -13,6 +13,7 @@ from rasterlake.operators import encoders as E
 from rasterlake.operators import engine
 
 PALETTE = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+SIXTEEN = PALETTE[::17]
 
 #: Encoders of RGB pictures and of 8-bit gray ones (as an array of shape height, width), by name.
 RGB_ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
@@ -20,7 +21,7 @@ RGB_ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
     "tif": E.tiff, "packbits.tif": lambda p: E.tiff(p, compression=32773), "lzw.tif": lambda p: E.tiff(p, compression=5), "deflate.tif": lambda p: E.tiff(p, compression=8), "gif": lambda p: E.gif([p[..., 0]], PALETTE),
 }
 GRAY_ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
-    "bmp": lambda g: E.bmp_rle8(g, PALETTE), "gif": lambda g: E.gif([g], PALETTE), "png": lambda g: E.png(g[:, :, None], 0, filters=4), "adam7.png": lambda g: E.png(g[:, :, None], 0, adam7=True), "jpg": lambda g: E.jpeg(g[:, :, None]),
+    "bmp": lambda g: E.bmp_rle8(g, PALETTE), "rle4.bmp": lambda g: E.bmp_rle4(g, SIXTEEN), "gif": lambda g: E.gif([g], PALETTE), "png": lambda g: E.png(g[:, :, None], 0, filters=4), "adam7.png": lambda g: E.png(g[:, :, None], 0, adam7=True), "jpg": lambda g: E.jpeg(g[:, :, None]),
 }
 
 

@@ -359,10 +359,69 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("stream_progress", stream_progress, "SELECT count(*) AS done, CAST(0 AS BIGINT) AS corrupted, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS not_image, CAST(0 AS BIGINT) AS errors FROM embeddings")
 
 
+def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part a file that breaks one rule, by turns: whether the rule is found broken, and the verdict."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from rasterlake.plans import damage
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(damage.CASES)
+        files = {n: (ext, make()) for n, (ext, make) in damage.CASES.items()}
+        for batch in batches:
+            rows = [(f"{k}.{names[k % len(names)]}.{files[names[k % len(names)]][0]}", files[names[k % len(names)]][1]) for k in batch.column("key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], ["path", "content"])
+
+    files = B.spread(B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))).mapInArrow(run, "path string, content binary")
+    deep = F.col("path").contains("DEEP")
+    records = engine.analyse_contents(files.where(~deep)).unionAll(engine.analyse_contents(files.where(deep), deep=True))
+    rule = F.regexp_extract("path", r"^[0-9]+[.]([A-Z_]+)[.]", 1)
+    return records.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("key"), rule.alias("rule"), F.exists("problems", lambda p: p["code"] == rule).alias("found"), "check")
+
+
+def _rule_values() -> str:
+    from rasterlake.functions import labels as L
+    from rasterlake.plans import damage
+
+    return ", ".join(f"({i}, '{n}', '{L.FOLLOWED.get(n, L.RULES[n][0])}')" for i, n in enumerate(damage.CASES))
+
+
+_add("rule_verdicts", rule_verdicts, f"""SELECT p_partkey AS key, rule, true AS found, verdict AS "check" FROM part, (VALUES {_rule_values()}) t(i, rule, verdict) WHERE p_partkey % {_rule_values().count("(")} = i""")
+
+
+def bmp_rle4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of sixteen grays through RLE4 with runs, literals and deltas."""
+    pictures = B.vector_pictures(spark, sf_dir).withColumn("gray", F.transform("gray", lambda v: F.floor(v / 16).cast("int")))
+    r, p = B.records(pictures, "rle4.bmp"), F.col("pixels")
+    return r.select("key", "check", "bits_per_pixel", p["min_channel"][0].cast("int").alias("min_v"), p["max_channel"][0].cast("int").alias("max_v"), F.round(p["mean_channel"][0], 6).alias("mean_v"), p["distinct_colors"].alias("distinct_colors"))
+
+
+_add("bmp_rle4_stats", bmp_rle4_stats, f"""
+WITH {_V}, s AS (SELECT key, CAST(floor(v / 16.0) AS INT) * 17 AS v FROM v)
+SELECT key, 'OK' AS "check", CAST(4 AS INT) AS bits_per_pixel, min(v) AS min_v, max(v) AS max_v, round(avg(v), 6) AS mean_v, count(DISTINCT v) AS distinct_colors FROM s GROUP BY key""")
+
+
+def panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail panel's rows of PCX pictures, counted by group, name and value where values are shared."""
+    rows = reports.panel(B.records(B.order_pictures(spark, sf_dir), "pcx", deep=False))
+    shared = rows.where("`group` in ('Глубина', 'Сжатие', 'Проверка') or name in ('Определён как', 'Расширение', 'Высота', 'Разрешение', 'Единицы')").where("note <> ''")
+    return shared.groupBy("group", "name", "value").agg(F.count("*").alias("n"))
+
+
+_add("panel_rows", panel_rows, """
+SELECT g AS "group", name, value, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n FROM (VALUES ('Формат', 'Определён как', 'ZSoft PC Paintbrush'), ('Формат', 'Расширение', 'PCX'), ('Размер', 'Высота', '1 px'), ('Размер', 'Разрешение', '72.00 x 72.00'),
+  ('Размер', 'Единицы', 'dots per inch'), ('Глубина', 'Бит на пиксель', '24'), ('Глубина', 'Бит на канал', '8'), ('Глубина', 'Каналы', '3'), ('Глубина', 'Модель цвета', 'RGB'), ('Сжатие', 'Метод', 'RLE'), ('Сжатие', 'Код', 'PCX encoding = 1'), ('Проверка', 'Статус', 'OK')) t(g, name, value)""")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A deep scan of mixed files, summed up by format and state."""
+    """A deep scan of mixed files, summed up by format and state: files, pixels, and colours and red of what is without loss."""
     r = _mixed(spark, sf_dir, deep=True)
-    return r.groupBy("format", "check").agg(F.count("*").alias("files"), F.sum("file_size").alias("file_bytes"), F.sum("pixels.pixel_count").alias("pixels")).orderBy("format", "check")
+    exact = F.col("format") != "JPEG"
+    return r.groupBy("format", "check").agg(F.count("*").alias("files"), F.sum(F.coalesce("pixels.pixel_count", F.lit(0))).alias("pixels"), F.sum(F.when(exact, F.coalesce("pixels.distinct_colors", F.lit(0))).otherwise(0)).alias("colours"), F.sum(F.when(exact, F.coalesce(F.col("pixels.max_channel")[0], F.lit(0.0))).otherwise(0.0)).alias("red")).orderBy("format", "check")
 
 
-_add("mixed_deep_scan", flagship)
+_add("mixed_deep_scan", flagship, f"""
+SELECT f AS format, CASE WHEN cut THEN 'CORRUPTED' ELSE 'OK' END AS "check", count(*) AS files, CAST(CASE WHEN NOT cut THEN 40 * count(*) ELSE 0 END AS BIGINT) AS pixels, CAST(CASE WHEN NOT cut AND f <> 'JPEG' THEN count(*) ELSE 0 END AS BIGINT) AS colours,
+  CASE WHEN NOT cut AND f <> 'JPEG' THEN CAST(sum(p_size) AS DOUBLE) ELSE 0.0::DOUBLE END AS red FROM (SELECT {_MIX_FORMAT} AS f, p_partkey % 3 = 0 AS cut, p_size FROM part) GROUP BY f, cut""")

@@ -231,3 +231,16 @@ def test_stopped_stream_keeps_what_it_counted(spark, folder):
     q.processAllAvailable()
     q.stop()
     assert not q.isActive and spark.table("stopped_counts").first()["done"] == 7
+
+
+def test_panel(records):
+    from rasterlake.functions import labels as L
+
+    rows = reports.panel(records)
+    of = lambda name: [(r["group"], r["name"], r["value"], r["note"]) for r in rows.where(F.col("path").endswith(name)).orderBy("position").collect()]
+    bmp = {(g, n): (v, note) for g, n, v, note in of("B.BMP")}
+    assert bmp["Размер", "Разрешение"][0] == "96.01 x 96.01" and bmp["Проверка", "Статус"] == ("OK", L.PANEL_NOTES["Проверка", "Статус"]) and bmp["Пиксели", "Прозрачность"][0] == "нет"
+    wrong = {(g, n): (v, note) for g, n, v, note in of("wrong.png")}
+    assert wrong["Формат", "Расширение"] == ("PNG", L.PANEL_MISMATCH) and wrong["Размер", "Разрешение"] == (L.NOT_SET, L.PANEL_NO_DPI) and ("Проверка", "Замечание") in wrong
+    assert ("Размер", "Ширина") not in {(g, n) for g, n, *_ in of("empty.gif")}
+    assert {f.name: f.metadata["comment"] for f in reports.grid(records).schema} == L.COLUMN_HELP

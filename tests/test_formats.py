@@ -136,3 +136,116 @@ def test_long_jpeg_headers():
         record = analyse_bytes("a.jpg", padded)
         assert (record["check"], record["width"], record["height"]) == ("OK", 37, 23) and record["bytes_read"] < 40_000 + k * 33_000
         assert (pixels(padded) == pixels(data)).all()
+
+
+def test_rules_and_damaged_files():
+    """Each rule that a file can break has a file that breaks it; the verdict is the rule's."""
+    import pathlib
+    import re
+
+    from rasterlake.functions import labels as L
+    from rasterlake.operators import formats
+    from rasterlake.plans import damage
+
+    assert set(damage.CASES) == set(L.RULES) - set(L.ALONE) - {"ROOT", "OPEN", "PARSE"}
+    for rule, (extension, make) in damage.CASES.items():
+        record = analyse_bytes(f"x.{extension}", make(), deep=rule.startswith("DEEP"))
+        found = {p["code"]: p["severity"] for p in record["problems"]}
+        assert found.get(rule) == L.RULES[rule][0] and record["check"] == L.FOLLOWED.get(rule, L.RULES[rule][0]), (rule, found)
+        assert all(found[c] == L.RULES[c][0] for c in found)
+    source = "".join(p.read_text() for p in pathlib.Path(formats.__file__).parent.glob("*.py"))
+    assert set(re.findall(r'problem\("([A-Z_]+)"', source)) <= set(L.RULES)
+
+
+def test_rules_of_parsers_alone():
+    from rasterlake.functions import labels as L
+    from rasterlake.operators.formats import REGISTRY
+    from rasterlake.operators.reader import Reader, Record
+
+    for rule, data in {"PNG_SHORT": b"\x89PNG", "PNG_SIGNATURE": b"x" * 40, "JPEG_SOI": b"x" * 200, "GIF_HEADER": b"x" * 40, "TIFF_ORDER": b"x" * 40}.items():
+        record = Record()
+        REGISTRY[rule.partition("_")[0]].parse(Reader(data), record)
+        assert record.problems[0][:2] == (rule, "CORRUPTED") and rule in L.ALONE
+
+
+def test_rle4_round_trip():
+    """Runs, literals of odd and even length, jumps over index 0, rows of one value."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        h, w = rng.integers(1, 40, 2)
+        index = np.repeat(rng.integers(0, 16, (h, w)), rng.integers(1, 9), axis=1)[:, :w].astype(np.uint8)
+        index[rng.random((h, w)) < 0.3] = 0
+        assert (pixels(E.bmp_rle4(index, PALETTE[:16])) == PALETTE[:16][index]).all()
+
+
+def test_early_end_of_rle_leaves_index_zero():
+    import struct
+
+    body = b"\x05\x03\0\1"
+    head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + 1024 + len(body), 0, 54 + 1024, 40, 40, 30, 1, 8, 1, len(body), 0, 0, 256, 0)
+    table = np.zeros((256, 4), np.uint8)
+    table[:, 2::-1] = PALETTE
+    got = pixels(head + table.tobytes() + body)
+    want = np.zeros((30, 40), np.uint8)
+    want[-1, :5] = 3
+    assert (got == PALETTE[want]).all()
+
+
+class Java:
+    """The JDK's own encoders and decoders, as an independent hand."""
+
+    def __init__(self, spark):
+        self.jvm = spark._jvm
+        self.io = self.jvm.javax.imageio.ImageIO
+
+    def image(self, rgb, kind=1):
+        h, w = rgb.shape[:2]
+        out = self.jvm.java.awt.image.BufferedImage(w, h, kind)
+        for y in range(h):
+            for x in range(w):
+                out.setRGB(x, y, int.from_bytes(bytes([255, *rgb[y, x]]), "big", signed=True))
+        return out
+
+    def written(self, rgb, name, compression=None, kind=1):
+        out = self.jvm.java.io.ByteArrayOutputStream()
+        writer = self.io.getImageWritersByFormatName(name).next()
+        param = writer.getDefaultWriteParam()
+        if compression:
+            param.setCompressionMode(2)
+            param.setCompressionType(compression)
+        stream = self.io.createImageOutputStream(out)
+        writer.setOutput(stream)
+        writer.write(None, self.jvm.javax.imageio.IIOImage(self.image(rgb, kind), None, None), param)
+        stream.flush()
+        return bytes(out.toByteArray())
+
+    def read(self, data):
+        image = self.io.read(self.jvm.java.io.ByteArrayInputStream(data))
+        h, w = image.getHeight(), image.getWidth()
+        flat = np.array(list(image.getRGB(0, 0, w, h, None, 0, w)), np.int64) & 0xFFFFFF
+        return np.stack([flat >> 16, flat >> 8 & 255, flat & 255], axis=1).astype(np.uint8).reshape(h, w, 3)
+
+
+SMALL = RGB[:9, :14]
+
+
+@pytest.mark.parametrize("name,compression", [("png", None), ("bmp", None), ("tiff", "LZW"), ("tiff", "PackBits"), ("tiff", "Deflate"), ("tiff", "ZLib"), ("tiff", None)])
+def test_files_of_another_encoder(spark, name, compression):
+    java = Java(spark)
+    data = java.written(SMALL, name, compression)
+    assert (pixels(data)[..., :3] == SMALL).all() and (java.read(data) == SMALL).all()
+    assert analyse_bytes(f"x.{name}", data, deep=True)["check"] == "OK"
+
+
+def test_gif_and_jpeg_of_another_encoder(spark):
+    java = Java(spark)
+    grays = np.repeat((np.arange(126).reshape(9, 14, 1) * 2).astype(np.uint8), 3, axis=2)
+    data = java.written(grays, "gif", kind=10)
+    assert (pixels(data) == java.read(data)).all()
+    data = java.written(np.repeat(np.repeat(grays, 3, axis=0), 3, axis=1), "jpeg")
+    assert np.abs(pixels(data)[..., :3].astype(int) - java.read(data)).max() <= 16 and np.abs(pixels(data)[..., :3].astype(int) - java.read(data)).mean() < 0.4
+
+
+@pytest.mark.parametrize("encode", [lambda: E.png(SMALL, 2, filters=4), lambda: E.png(SMALL, 2, adam7=True), lambda: E.bmp24(SMALL), lambda: E.tiff(SMALL, compression=5), lambda: E.tiff(SMALL, compression=32773), lambda: E.tiff(SMALL, compression=8, predictor=True)])
+def test_our_files_under_another_decoder(spark, encode):
+    assert (Java(spark).read(encode()) == SMALL).all()
