@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import checkpointed, shuffle_partitions, text_bytes
+from rasterlake.llm.common import bucket, checkpointed, shuffle_partitions, slices, text_bytes
 from rasterlake.llm.graph import connected_components
-from rasterlake.llm.jaccard import similar
+from rasterlake.llm.jaccard import majority, similar
 
 DISTANCE, SHINGLE, SEED = 2, 3, 42
 #: An anchor's members beyond which they are linked by shared points.
@@ -52,25 +52,18 @@ def _hamming74() -> tuple[np.ndarray, list[list[int]]]:
 NEAREST, REACH = _hamming74()
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    words = text.lower().split()
     if not words:
         return 0
-    if len(words) > shingle:
-        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-        n = len(words) - shingle + 1
-    else:
-        parts, n = [b" ".join(words)], 1
-    ones = np.zeros(64, np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.dtype("<u8"), n)
-    for a in range(0, n, 65_536):
-        ones += np.unpackbits(hashes[a : a + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else iter([b" ".join(words)])
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64))
 
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t.lower().split(), shingle) for t in text_bytes(batch.column("text"))], np.uint64)
+        for batch in slices(batches):
+            prints = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
     return run
@@ -224,12 +217,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One document of each group of texts with a Jaccard similarity of 0.8 or more over their shingles of five words: the one with the smallest
-    doc_id, one row of it if rows share it. A null doc_id counts as a large id made from the text. Columns stay. Fingerprints within DISTANCE
-    bits would miss most of these, so the groups come from the shingles themselves."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2))
-    ids = docs.select(own.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keep = similar(ids, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(own.alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    one = rows.join(keep, rows["_id"] == keep["doc_id"], "left_semi").dropDuplicates(["_id"])
-    return one.select("_row.*")
+    """One row of each group of texts that pairs with a Jaccard similarity of 0.8 or more over their shingles of five words connect: the one with the
+    smallest doc_id (null counts as the largest), of equal ids the one whose text has the smallest hash. Rows with the same id and text are one
+    document twice; rows with the same id and unlike texts are two documents. Texts without a word are alike. Columns stay.
+
+    Links within DISTANCE bits are taken first, confirmed by the sets of shingles; as most such pairs lie further apart, `jaccard` finds the others.
+    Only rows of groups are shuffled, told from the others by a table of buckets."""
+    k0, k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = similar(docs.select(k0.alias("k0"), k1.alias("k1"), F.col("text").cast("string").alias("text")), shingle, links)
+    groups = checkpointed(found.where("rows > 1").select("k0", "k1", (F.struct("k0", "k1") == F.col("first")).alias("stays")).distinct())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("_row"), k0.alias("k0"), k1.alias("k1"))
+    buckets = F.broadcast(groups.select(bucket("k0", "k1").alias("_b")).distinct())
+    alone = rows.join(buckets, bucket(rows["k0"], rows["k1"]) == F.col("_b"), "left_anti")
+    asked = rows.join(buckets, bucket(rows["k0"], rows["k1"]) == F.col("_b"), "left_semi").join(groups, ["k0", "k1"], "left")
+    # of rows with equal id and text, the one whose other columns have the smallest hash
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(f"_row.`{c}`") for c in docs.columns if c != "text"))))
+    one = asked.where("stays").groupBy("k0", "k1").agg(F.min_by("_row", others).alias("_row"))
+    return alone.select("_row.*").unionAll(asked.where("stays is null").select("_row.*")).unionAll(one.select("_row.*"))
