@@ -6,29 +6,32 @@ softmax give the language. Training takes at most SAMPLE rows, those of smallest
 same wherever rows lie; a fifth of it is held back to calibrate the temperature of the scores and the score under which a text is
 rejected as no known language. Prediction reads whole texts. As embedding and layer are linear, they are one table in prediction.
 
-A null text or one without a letter is `und` with score 0; if nothing can be learned (no labelled row), all texts are `und`; repeated
-rows are treated alike; null doc_ids are kept; other columns are ignored.
+A null text or one without a letter (Unicode category L: digits and fractions of any script are none) is `und` with score 0; if nothing can be learned
+(no labelled row), all texts are `und`; of equally likely languages the first by name is taken; a script that training never saw gets the languages'
+own shares, a low score, and is flagged as rejected; repeated rows are treated alike; null doc_ids are kept; other columns are ignored; an empty
+table has no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIMENSION, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: Labelled rows to fit on at most, and the longest piece of a row's text that one step sees (drawn from the whole text).
-SAMPLE, PIECE = 2500, 240
+#: Labelled rows to fit on at most, the longest part of a row's text that comes to the driver (from a place that hangs on its hash), and the
+#: longest piece of it that one step sees.
+SAMPLE, PART, PIECE = 2500, 4000, 240
 EPOCHS, RATE, SEED = 5, 0.5, 7
 #: Bytes that are hashed at once.
 BLOCK = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, bytes of other characters as they are, the rest a space.
 _BYTES = bytes(i if i >= 128 else i | 32 if chr(i).isalpha() else 32 for i in range(256))
 
@@ -166,11 +169,12 @@ def calibrate(model: Model, held: list[tuple[np.ndarray, str]]) -> Model:
 def sample(docs: DataFrame, allowed: Column, rows: int = SAMPLE) -> list[tuple[str, str]]:
     """At most `rows` labelled rows: smallest hash of doc_id and text first. Only ids travel until the rows are chosen."""
     labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - (PART - 1), F.lit(1))).cast("int") + 1
     last = labelled.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if last is None:
         return []
     # many rows may share a doc_id, so the number is held to here too
-    chosen = labelled.where(F.col("h") <= last).orderBy("h", F.xxhash64("text")).limit(rows).collect()
+    chosen = labelled.where(F.col("h") <= last).select("h", F.xxhash64("text").alias("t"), F.substring("text", place, F.lit(PART)).alias("text"), "lang").orderBy("h", "t").limit(rows).collect()
     return [(r["text"], r["lang"]) for r in chosen]
 
 

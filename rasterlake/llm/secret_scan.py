@@ -6,6 +6,7 @@ words and syllables covers, whether it looks like a path or an address, and the
 labelled findings: a fixed number (FINDINGS) of made ones, drawn from a fixed seed over the shapes that real scanners report, true (keys, tokens,
 passwords in assignments) and false (digests named as such, identifiers, paths, long words, numbers, versions).
 
+Candidates may be of any length and are judged by all of their characters; a run of token characters without a digit is one only behind a cue.
 A null or empty text has no candidates; repeated rows are treated alike; null doc_ids are kept; other columns are ignored by `findings` and
 kept by `redact`.
 """
@@ -42,22 +43,23 @@ WORDS = (
 ).split()
 _DICTIONARY = frozenset(w for w in WORDS if len(w) >= 3)
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}")
+_DIGIT = re.compile(r"[0-9]")
 _ANY = "|".join(re.escape(c) for c in CUES)
-#: A cue within a name (DB_PASSWORD, "api_key", tokens["auth"]), a separator, perhaps a scheme, and the value; or a scheme and the value.
-_VALUE = re.compile(r"(?i)(?:" + _ANY + r")[A-Za-z0-9_.\-]{0,40}[\"']?\]?\s{0,3}(?::=|[:=]>?)\s{0,3}[\"']?(?:(?:bearer|basic|token)\s{1,3})?((?!(?:bearer|basic|token)\s)[^\s\"',;]{6,})")
+_CUED = re.compile(_ANY, re.IGNORECASE)
+#: A whole name (DB_PASSWORD, "api_key", tokens["auth"]; it counts if a cue is in it), a separator, perhaps a scheme, and the value.
+_VALUE = re.compile(r"(?i)(?<![A-Za-z0-9_.\-])([A-Za-z0-9_.\-]++)[\"']?\]?\s{0,3}(?::=|[:=]>?)\s{0,3}[\"']?(?:(?:bearer|basic|token)\s{1,3})?((?!(?:bearer|basic|token)\s)[^\s\"',;]{6,})")
 _BEARER = re.compile(r"(?i)\bbearer\s{1,3}[\"']?([A-Za-z0-9._~+/\-]{6,}={0,2})")
 #: A cue as a part of a name: between other characters than letters, or told by its capitals (dbPassword, PGPASSWORD).
 _CUE = re.compile(r"(?<![A-Za-z])(?:" + _ANY + r")s?(?![a-z])|(?:" + "|".join(re.escape(c.capitalize()) for c in CUES) + r")s?(?![a-z])|(?:" + _ANY.upper() + r")S?(?![A-Za-z])")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
-_CUE_START = re.compile(r"(?i)[:=]")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z0-9 ]*PRIVATE KEY-----)?")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that may hold a secret, by start, without overlaps: the earlier and then longer one stays."""
-    spans = [m.span() for m in _TOKEN.finditer(text)] if any(c in text for c in "0123456789") else []
-    if ":" in text or "=" in text:
-        spans += [m.span(1) for m in _VALUE.finditer(text)]
+    spans = [m.span() for m in _TOKEN.finditer(text) if _DIGIT.search(m[0])] if _DIGIT.search(text) else []
+    if (":" in text or "=" in text) and _CUED.search(text):
+        spans += [m.span(2) for m in _VALUE.finditer(text) if _CUED.search(m[1])]
     spans += [m.span(1) for m in _BEARER.finditer(text)]
     if "PRIVATE KEY-----" in text:
         spans += [m.span() for m in _BLOCK.finditer(text)]
