@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -75,12 +77,20 @@ def bucket(*key: str | Column) -> Column:
     return F.pmod(F.xxhash64(*key), BUCKETS).cast("int")
 
 
+def release() -> None:
+    """Gives what a task has freed back to the system: its worker lives on, beside others, and may be idle for long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about `most` bytes, so that what Python makes of a part doesn't hang on how many rows a batch has."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    release()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

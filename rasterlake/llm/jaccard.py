@@ -1,13 +1,12 @@
 """Documents whose sets of word shingles have a Jaccard similarity of SHARE or more, found exactly.
 
-First come the links that another operator offers (fingerprints that lie close), confirmed by the whole sets. They join most copies that
-hardly differ, but no distance of short fingerprints reaches every pair, so the rest is found by a prefix filter that misses none: two similar
-sets have a common shingle among the first n - ceil(SHARE n) + 1 of each, in any order that both follow. The order puts the HEAVY shingles
+First come the links that another operator offers (fingerprints that lie close). They join copies that hardly differ, but no distance of short
+fingerprints reaches every pair, so the rest is found by a prefix filter that misses none: two similar sets have a common shingle among the first n - ceil(SHARE n) + 1 of each, in any order that both follow. The order puts the HEAVY shingles
 that many texts bear last and goes by hash otherwise, so few texts meet at a shingle that says little; which ones are heavy is counted on
 an eighth of the texts, which changes what is compared but never what is found.
 
-Equal sets are compared once. Where a shingle's texts are not of one component yet, each is first confirmed against the first of them, which
-joins most of a large group; then the pairs that are left are compared. A pair is dropped by two bounds that no similar pair can miss: the ratio
+Equal sets are compared once. With those links each text of a shingle is confirmed against the first of them, which joins most of a large group;
+then the pairs that aren't in one component yet are compared. A pair is dropped by two bounds that no similar pair can miss: the ratio
 of sizes, and the sum by which the counts of 128 hash buckets differ (modulo 16), at most the size of the symmetric difference. What
 passes is confirmed by the whole sets. Sets are the same up to 64-bit hash collisions, confirmed by 48 bits of each shingle's hash.
 """
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bucket, checkpointed, shuffle_partitions, slices, text_bytes
+from rasterlake.llm.common import bucket, checkpointed, release, shuffle_partitions, slices, text_bytes
 from rasterlake.llm.graph import connected_components
 from rasterlake.llm.substring_dedup import window_hashes, word_hashes
 
@@ -194,6 +193,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held.append(rows[cut:])
     if held:
         yield np.concatenate(held)
+    release()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +234,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first of each token with the others that aren't of its component. Rows: token, key, root."""
+    """The first of each token with the others. Rows: token, key."""
     for rows in _whole_groups(batches):
         start = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
         first = np.flatnonzero(start)[np.cumsum(start) - 1]
-        use = np.flatnonzero(~start & (rows[:, 2] != rows[first, 2]))
-        yield from _pairs(rows[first[use], 1], rows[use, 1])
+        yield from _pairs(rows[first[~start], 1], rows[~start, 1])
 
 
 def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +329,8 @@ def similar(docs: DataFrame, size: int, near_fingerprints: Callable[[DataFrame],
     alike = nodes.select("fp", "key").join(prints, "fp").where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
     close = near_fingerprints(prints.select("fp"))
     close = close.join(prints.select(F.col("fp").alias("a"), F.col("leader").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("leader").alias("y")), "b")
-    edges = confirmed(alike.unionAll(close.select("x", "y")))
-
-    stars = by_token(placed(shared, edges).select("token", "key", "root"), "key").mapInArrow(_stars, "a long, b long")
-    edges = edges.unionAll(confirmed(stars))
+    stars = by_token(shared, "key").mapInArrow(_stars, "a long, b long")
+    edges = confirmed(alike.unionAll(close.select("x", "y")).unionAll(stars))
 
     rest = by_token(placed(shared, edges).select("token", "key", "root"), "key").mapInArrow(_open, "token long, key long, root long")
     rest = rest.join(nodes.select("key", "n", *_SKETCH), "key").select("token", "key", "root", "n", *_SKETCH)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import math
 import re
 import zlib
@@ -29,7 +30,7 @@ from rasterlake.llm.common import checkpointed, slices, texts
 
 CAPACITY = 2048
 #: Ids that a worker remembers for words, in entries.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 #: White space or a word of such a length goes to the tokenizer itself: the fast encoder recurses on the one and is quadratic on the other.
@@ -48,15 +49,22 @@ class Words(dict):
     def __init__(self, vocabulary: str):
         super().__init__()
         import tiktoken
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.vocabulary, self.tokenizer = vocabulary, None
+        with open(vocabulary, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         ranks, pattern = read_vocabulary(vocabulary)
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else self.whole
 
+    def whole(self, text: str) -> list[int]:
+        """By the tokenizer itself, which takes as much memory again and is loaded when a text needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.vocabulary)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()

@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import checkpointed, shuffle_partitions, text_bytes, text_key
+from rasterlake.llm.common import checkpointed, release, shuffle_partitions, slices, text_bytes, text_key
 
 WINDOW, PERIOD = 35, 21
 #: A perfect difference set modulo 21: each difference 1 to 20 occurs once.
 COVER = (3, 6, 7, 12, 14)
-#: What a map task holds of hashes before it sends them on.
-FLUSH = 2_000_000
+#: What a map task holds of hashes before it sends them on; 33 bytes each, some three times that while they are sorted.
+FLUSH = 500_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -213,6 +213,7 @@ def _find(buckets: int):
             cut = np.flatnonzero(np.diff(to[order], prepend=-1))
             rows = [{"p": int(to[order[a]]), **{c: _squeezed(x[order[a:b]]) for c, x in (("k0", k0), ("k1", k1), ("pos", pos))}} for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
             yield _table(rows, _ANSWER_ARROW)
+        release()
 
     return run
 
@@ -221,6 +222,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [tuple(_unsqueezed(x, t) for x, t in zip(row, (np.int64, np.int64, np.int32), strict=True)) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("k0", "k1", "pos")), strict=True)]
     if got:
         yield from _by_row(*(np.concatenate(x) for x in zip(*got, strict=True)))
+    release()
 
 
 def _repeats(sent: DataFrame, buckets: int) -> DataFrame:
@@ -233,7 +235,7 @@ def _repeats(sent: DataFrame, buckets: int) -> DataFrame:
 def _anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(buckets)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[dict] = []
             for text, k0, k1 in zip(text_bytes(batch.column("text")), batch.column("k0").to_pylist(), batch.column("k1").to_pylist(), strict=True):
                 words = text.split()
@@ -281,7 +283,7 @@ def _extend(buckets: int):
         def sent(rows) -> list[dict]:
             return [{"p": x["p"], "h": x["h"], "hi": x["hi"], "sk0": x["k0"], "sk1": x["k1"], "pos": x["pos"], "flag": x["flag"]} for x in rows]
 
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[dict] = []
             for text, k0, k1, doc_id, found in zip(text_bytes(batch.column("text")), *(batch.column(x).to_pylist() for x in ("k0", "k1", "doc_id", "pos")), strict=True):
                 words, anchors = text.split(), _positions(found)
@@ -316,7 +318,7 @@ def _kept(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 4 << 20):  # texts are compressed
         rows = []
         for text, k0, k1, doc_id, found in zip(map(zstandard.decompress, batch.column("text").to_pylist()), *(batch.column(x).to_pylist() for x in ("k0", "k1", "doc_id", "pos")), strict=True):
             words = text.split()
@@ -348,7 +350,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text, removed, keep in zip(batch.column("text").to_pylist(), *(batch.column(x).to_pylist() for x in ("n_removed", "keep")), strict=True):
             if removed:
