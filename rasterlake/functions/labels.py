@@ -67,6 +67,9 @@ TIFF_PREDICTORS = {1: "none", 2: "horizontal differencing", 3: "floating point"}
 # PCX versions.
 PCX_VERSIONS = {0: "PC Paintbrush 2.5", 2: "PC Paintbrush 2.8 with palette", 3: "PC Paintbrush 2.8 without palette", 4: "Paintbrush for Windows", 5: "Paintbrush 3.0 and later"}
 
+# What a PCX header says of its palette.
+PCX_PICTURES = {0: "not given", 1: "colour or black and white", 2: "grayscale"}
+
 # Titles of the text report.
 TEXT_HEADERS = ("Файл", "Формат", "Размер", "Разрешение", "Бит/пикс", "Сжатие", "Статус")
 

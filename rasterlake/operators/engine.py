@@ -7,12 +7,14 @@ only statistics leave it. Rules that need no bytes (state folding, names, views)
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, fields
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterlake.functions import exprs as X
@@ -30,7 +32,7 @@ RECORD_SCHEMA = struct(
     "path string, name string, folder string, root_ordinal int, file_size bigint, bytes_read bigint, format string, extension_name string, extension_mismatch boolean, signature binary, width int, height int, geometry_valid boolean, "
     "bits_per_pixel int, sample_depth int, channels int, color_model string, dpi_x double, dpi_y double, dpi_known boolean, resolution_unit string, compression string, compression_code string, check string, "
     "problems array<struct<code: string, severity: string, message: string>>, details array<struct<group: string, name: string, value: string>>, frames array<struct<left: int, top: int, width: int, height: int, interlaced: boolean, local: int, delay: int, disposal: int, bytes: bigint>>, "
-    "chunks map<string, int>, tags array<struct<tag: int, type: int, count: bigint, ints: array<bigint>, reals: array<double>, ascii: string, offset_valid: boolean>>, pixels_analyzed boolean"
+    "chunks map<string, int>, tags array<struct<tag: int, type: int, count: bigint, ints: array<bigint>, reals: array<double>, ascii: string, offset_valid: boolean>>, measures map<string,bigint>, red_histogram array<bigint>, pixels_analyzed boolean"
 ).add("pixels", _PIXELS)
 
 _HEADS = ((b"\x89PNG\r\n\x1a\n", "PNG"), (b"\xff\xd8\xff", "JPEG"), (b"GIF87a", "GIF"), (b"GIF89a", "GIF"), (b"II*\0", "TIFF"), (b"MM\0*", "TIFF"), (b"II+\0", "TIFF"), (b"MM\0+", "TIFF"), (b"BM", "BMP"))
@@ -82,7 +84,7 @@ def analyse(path: str, reader: Reader | None, deep: bool = False, limits: Limits
         "signature": head[:8].ljust(8, b"\0"), "width": _int(record.width), "height": _int(record.height), "geometry_valid": record.width > 0 and record.height > 0, "bits_per_pixel": _int(record.bits_per_pixel), "sample_depth": _int(record.sample_depth), "channels": _int(record.channels),
         "color_model": record.color_model, "dpi_x": record.dpi_x, "dpi_y": record.dpi_y, "dpi_known": record.dpi_x is not None, "resolution_unit": record.resolution_unit, "compression": record.compression, "compression_code": record.compression_code, "check": record.check,
         "problems": [dict(zip(("code", "severity", "message"), p, strict=True)) for p in record.problems], "details": [dict(zip(("group", "name", "value"), d, strict=True)) for d in record.details], "frames": record.frames, "chunks": record.chunks,
-        "tags": record.tags, "pixels_analyzed": pixels is not None, "pixels": pixels,
+        "tags": record.tags, "measures": record.measures, "red_histogram": pixels.pop("red_histogram") if pixels else None, "pixels_analyzed": pixels is not None, "pixels": pixels,
     }
 
 
@@ -102,33 +104,43 @@ def limits_from(options: dict) -> Limits:
     return Limits(**{f.name: int(options[f.name]) for f in fields(Limits) if f.name in options})
 
 
-def _arrow_schema() -> pa.Schema:
-    return to_arrow_schema(RECORD_SCHEMA)
+def schema_of(names: Iterable[str] | None = None) -> T.StructType:
+    """RECORD_SCHEMA, or the fields of it that are named, in its order."""
+    if names is None:
+        return RECORD_SCHEMA
+    unknown = set(names) - set(RECORD_SCHEMA.names)
+    if unknown:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    return T.StructType([f for f in RECORD_SCHEMA if f.name in set(names)])
 
 
-def analyse_contents(files: DataFrame, deep: bool = False, limits: Limits | None = None) -> DataFrame:
-    """files: path, content. One record for each row. Few pictures at a time are in a worker's hands."""
-    bounds = asdict(limits or Limits())
+def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """A column for each field of the schema; what else the rows hold stays behind."""
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
+def analyse_contents(files: DataFrame, deep: bool = False, limits: Limits | None = None, names: Iterable[str] | None = None) -> DataFrame:
+    """files: path, content. One record for each row, of all fields or those named. Few pictures at a time are in a worker's hands."""
+    bounds, wanted = asdict(limits or Limits()), schema_of(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, own = _arrow_schema(), Limits(**bounds)
+        schema, own = to_arrow_schema(wanted), Limits(**bounds)
         for batch in batches:
             paths, contents = batch.column("path"), batch.column("content")
             for a in range(0, len(batch), 256):
-                rows = [analyse(p.as_py() or "", Reader(c.as_py() or b""), deep, own) for p, c in zip(paths[a : a + 256], contents[a : a + 256], strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield batch_of([analyse(p.as_py() or "", Reader(c.as_py() or b""), deep, own) for p, c in zip(paths[a : a + 256], contents[a : a + 256], strict=True)], schema)
 
-    return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, wanted)
 
 
-def scan(spark: SparkSession, roots: str | list[str], recursive: bool = True, deep: bool = False, extensions: tuple[str, ...] | None = L.DEFAULT_EXTENSIONS, dedupe: bool = False, follow_links: bool = False, listing: str = "driver", **limits: int) -> DataFrame:
-    """Records of all files under the roots, and one for each root that can't be listed. listing: driver, or executors for large collections."""
+def scan(spark: SparkSession, roots: str | list[str], recursive: bool = True, deep: bool = False, extensions: tuple[str, ...] | None = L.DEFAULT_EXTENSIONS, dedupe: bool = False, follow_links: bool = False, listing: str = "driver", names: Iterable[str] | None = None, **limits: int) -> DataFrame:
+    """Records (of all fields, or those named) of all files under the roots, and one for each root that can't be listed. listing: driver, or executors for large collections."""
     from rasterlake.sources.images import register
 
     register(spark)
     roots = [roots] if isinstance(roots, str) else list(roots)
     options = {"recursive": str(recursive).lower(), "deep": str(deep).lower(), "extensions": ",".join(extensions or ()), "dedupe": str(dedupe).lower(), "followSymlinks": str(follow_links).lower(), "listing": listing, "roots": "\n".join(roots)} | {k: str(v) for k, v in limits.items()}
-    return spark.read.format("raster_files").options(**options).load()
+    return spark.read.format("raster_files").schema(schema_of(names)).options(**options).load()
 
 
 def decode_one(path: str, **limits: int):
@@ -171,6 +183,23 @@ def by_root(records: DataFrame) -> DataFrame:
     return records.orderBy("root_ordinal", "path")
 
 
+def compat(records: DataFrame) -> DataFrame:
+    """Records as lenient readers tell them, where that costs nothing: a top-down BMP has no valid geometry; a BMP's compression without run lengths has its
+    label for a code; an animation has the size of its last frame; PCX run lengths never halve a picture."""
+    c, last = F.col, F.element_at("frames", -1)
+    flipped = (c("format") == "BMP") & F.exists("details", lambda d: (d["name"] == "rows") & (d["value"] == "top-down"))
+    packed = (c("format") == "PCX") & (c("compression") == "RLE") & (c("file_size") < 128 + F.floor(c("measures")["raw_bytes"] / 2)) & ~F.exists("problems", lambda p: p["code"] == "PCX_TRUNCATED")
+    problem = lambda when, code, text: F.when(when, F.array(F.struct(F.lit(code).alias("code"), F.lit("CORRUPTED").alias("severity"), F.lit(text).alias("message")))).otherwise(F.array())
+    animated = (c("format") == "GIF") & (F.size("frames") > 0)
+    return records.withColumns({
+        "problems": F.concat("problems", problem(flipped, "BMP_GEOMETRY", "height is negative"), problem(packed, "PCX_TRUNCATED", "file is too short for its picture")),
+        "check": F.when(flipped | packed, "CORRUPTED").otherwise(c("check")),
+        "compression_code": F.when((c("format") == "BMP") & ~c("compression_code").isin("BI_1", "BI_2"), c("compression")).otherwise(c("compression_code")),
+        "width": F.when(animated, last["width"]).otherwise(c("width")),
+        "height": F.when(animated, last["height"]).otherwise(c("height")),
+    })
+
+
 def record_at(records: DataFrame, k: int) -> DataFrame:
     """The k-th row (from 0) by name."""
     return by_name(records).offset(k).limit(1)
@@ -259,6 +288,43 @@ def register_views(records: DataFrame, prefix: str = "images") -> None:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions: image_format(binary), image_check(path, binary)."""
-    spark.udf.register("image_format", F.pandas_udf(lambda s: s.map(lambda b: detect(bytes(b or b"")[:64])), "string"))
-    spark.udf.register("image_check", F.pandas_udf(lambda p, s: p.combine(s, lambda a, b: analyse_bytes(a or "", bytes(b or b""))["check"]), "string"))
+    """SQL functions: image_format(binary), image_check(path, binary), image_parse(path, binary) (a record's header), image_pixels(binary) (statistics of
+    the decoded pixels) and the table function image_chunks(binary) (kind, position, offset, length of a PNG's chunks or a JPEG's segments)."""
+    header = schema_of([n for n in RECORD_SCHEMA.names if n not in ("frames", "chunks", "tags", "pixels", "root_ordinal")])
+
+    @F.pandas_udf("string")
+    def image_format(content: pd.Series) -> pd.Series:
+        return pd.Series([detect(bytes(b[:64]) if b is not None else b"") for b in content], dtype=object)
+
+    @F.pandas_udf("string")
+    def image_check(path: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([analyse_bytes(p or "", bytes(b or b""))["check"] for p, b in zip(path, content, strict=True)], dtype=object)
+
+    @F.udf(header, useArrow=True)
+    def image_parse(path, content):
+        record = analyse_bytes(path or "", bytes(content or b""))
+        return {n: record[n] for n in header.names}
+
+    @F.udf(_PIXELS, useArrow=True)
+    def image_pixels(content):
+        return analyse_bytes("", bytes(content or b""), deep=True)["pixels"]
+
+    @F.udtf(returnType="kind string, position int, offset bigint, length bigint")
+    class ImageChunks:
+        def eval(self, content):
+            data = bytes(content or b"")
+            fmt = detect(data[:64])
+            if fmt == "PNG":
+                from rasterlake.operators.formats.png import chunks
+
+                for i, (kind, at, length) in enumerate(chunks(Reader(data))):
+                    yield kind, i, at, length
+            elif fmt == "JPEG":
+                from rasterlake.operators.formats.jpeg import segments
+
+                for i, (marker, at, length) in enumerate(segments(data)):
+                    yield f"{marker:02X}", i, at, max(length, 0)
+
+    for f in (image_format, image_check, image_parse, image_pixels):
+        spark.udf.register(f.__name__ if hasattr(f, "__name__") else f.func.__name__, f)
+    spark.udtf.register("image_chunks", ImageChunks)

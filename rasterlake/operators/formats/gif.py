@@ -107,6 +107,7 @@ def parse(reader: Reader, record: Record) -> None:
     delays = [f["delay"] for f in g["frames"] if f["delay"] is not None]
     record.frames = [{k: f[k] for k in ("left", "top", "width", "height", "interlaced", "local", "delay", "disposal", "bytes")} for f in g["frames"]]
     size = sum(f["bytes"] for f in g["frames"])
+    record.measures |= {"frames": len(g["frames"]), "lzw_bytes": size, "delay": sum(delays), "local_palettes": sum(f["local"] > 0 for f in g["frames"])}
     for group, name, value in (
         ("Format", "version", data[:6].decode()), ("Geometry", "canvas", f"{g['width']} x {g['height']}"), ("Geometry", "width x height", f"{record.width} x {record.height}"), ("Depth", "bits per pixel", record.bits_per_pixel),
         ("Depth", "colour resolution", (g["flags"] >> 4 & 7) + 1), ("Colour", "global palette", len(g["palette"]) // 3), ("Colour", "local palettes", sum(f["local"] > 0 for f in g["frames"])), ("Compression", "LZW bytes", size), ("Extra", "frames", len(g["frames"])),

@@ -160,6 +160,7 @@ def parse(reader: Reader, record: Record) -> None:
         record.problem("JPEG_NO_EOI", "CORRUPTED", "no EOI at the end")
     if reader.size < 100:
         record.problem("JPEG_SHORT", "WARNING", "file is under 100 bytes")
+    record.measures |= {"segments": len(names), "quantisation_tables": tables, "huffman_tables": huffman}
     record.detail("Format", "segments", " ".join(names[:40]))
     record.detail("Compression", "quantisation tables", tables)
     record.detail("Compression", "Huffman tables", huffman)

@@ -54,10 +54,11 @@ def parse(reader: Reader, record: Record) -> None:
             entries = [palette[i : i + 3] for i in range(0, 768, 3)]
             record.detail("Colour", "distinct palette colours", len(set(entries)))
             record.detail("Colour", "gray palette", all(e[0] == e[1] == e[2] for e in entries))
+    record.measures["raw_bytes"] = raw
     for group, name, value in (
         ("Format", "version", f"{h['version']} — {L.PCX_VERSIONS.get(h['version'], 'unknown')}"), ("Format", "encoding", h["encoding"]), ("Geometry", "bounds", f"{h['x0']},{h['y0']} - {h['x1']},{h['y1']}"), ("Geometry", "width x height", f"{record.width} x {record.height}"),
         ("Depth", "bits per plane", bits), ("Depth", "planes", planes), ("Depth", "bits per pixel", record.bits_per_pixel), ("Resolution", "dots per inch", f"{h['dpi_x']} x {h['dpi_y']}"), ("Geometry", "screen", f"{h['screen_x']} x {h['screen_y']}"),
-        ("Geometry", "bytes per line", h["line"]), ("Compression", "raw bytes", raw),
+        ("Geometry", "bytes per line", h["line"]), ("Colour", "picture type", L.PCX_PICTURES.get(h["info"], f"code {h['info']}")), ("Compression", "raw bytes", raw),
     ):
         record.detail(group, name, value)
     if raw and reader.size > 128:

@@ -85,6 +85,7 @@ def parse(reader: Reader, record: Record) -> None:
                 record.detail("Extra", f"text {_printable(keyword)}", _printable(value) if kind == "tEXt" else "compressed")
         elif kind == "IEND":
             end = True
+    record.measures |= {"idat_chunks": idat, "idat_bytes": idat_bytes, "texts": texts}
     if ihdr is None:
         return record.problem("PNG_NO_IHDR", "CORRUPTED", "no IHDR")
     width, height, depth, colour, method, filtering, interlace = ihdr

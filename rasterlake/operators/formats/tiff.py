@@ -139,6 +139,7 @@ def parse(reader: Reader, record: Record) -> None:
     elif any(o + n > reader.size for o, n in zip(offsets, counts, strict=False)):
         record.problem("TIFF_STRIP", "CORRUPTED", "a strip goes beyond the end")
     size = sum(n for n in counts if isinstance(n, int))
+    record.measures |= {"pages": len(pages), "tags": len(page), "strips": len(offsets), "strip_bytes": size}
     for group, name, value in (
         ("Format", "byte order", "little" if order == "<" else "big"), ("Format", "magic", magic), ("Format", "pages", len(pages)), ("Format", "tags", len(page)), ("Geometry", "width x height", f"{record.width} x {record.height}"), ("Depth", "bits per sample", ",".join(map(str, bits[:8]))),
         ("Depth", "bits per pixel", record.bits_per_pixel), ("Depth", "samples", record.channels), ("Colour", "photometric", record.color_model), ("Resolution", "resolution", f"{x:g} x {y:g}, unit {unit}"), ("Compression", "strips", len(offsets)), ("Compression", "strip bytes", size),

@@ -20,13 +20,14 @@ def analyse(pixels: np.ndarray, file_size: int) -> dict:
     packed = flat[:, 0].astype(np.uint32) << 16 | flat[:, 1].astype(np.uint32) << 8 | flat[:, 2]
     colours, counts = np.unique(packed, return_counts=True)
     top = np.lexsort((colours, -counts))[:TOP]
-    share = np.bincount(flat[:, 0], minlength=256) / n
+    reds = np.bincount(flat[:, 0], minlength=256)
+    share = reds / n
     part = np.where(share > 0, -share * np.log2(np.where(share > 0, share, 1)), 0)
     return {
         "decoded": True, "error": "", "width": width, "height": height, "pixel_count": n, "distinct_colors": min(len(colours), COLOUR_CAP), "distinct_colors_capped": len(colours) > COLOUR_CAP,
         "used_channel_bits": int(flat.max()).bit_length(), "grayscale": bool((flat[:, 0] == flat[:, 1]).all() and (flat[:, 1] == flat[:, 2]).all()), "has_alpha": alpha is not None, "alpha_used": bool(alpha is not None and (alpha != 255).any()),
         "min_channel": flat.min(axis=0).astype(float).tolist(), "max_channel": flat.max(axis=0).astype(float).tolist(), "mean_channel": flat.mean(axis=0).tolist(), "entropy": float(part[1:].sum()), "entropy_full": float(part.sum()),
-        "compression_ratio": file_size / (pixels.size + n), "top_colors": [{"rgb": int(colours[i]), "percent": float(counts[i] * 100 / n)} for i in top],
+        "compression_ratio": file_size / (pixels.size + n), "top_colors": [{"rgb": int(colours[i]), "percent": float(counts[i] * 100 / n)} for i in top], "red_histogram": reds,
     }
 
 

@@ -177,6 +177,8 @@ class Record:
     frames: list[dict] = field(default_factory=list)
     chunks: dict[str, int] = field(default_factory=dict)
     tags: list[dict] = field(default_factory=list)
+    #: Numbers that the details show as text: chunks and bytes of a PNG's IDAT, a TIFF's strips, frames of a GIF, bytes without compression.
+    measures: dict[str, int] = field(default_factory=dict)
 
     def problem(self, code: str, severity: str, message: str) -> None:
         """The worst severity wins."""

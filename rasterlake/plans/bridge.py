@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,8 @@ def encoded(pictures: DataFrame, kind: Column, cut: Column | None = None) -> Dat
     return rows.mapInArrow(run, "path string, content binary")
 
 
-def records(pictures: DataFrame, kind: Column | str, deep: bool = True, cut: Column | None = None) -> DataFrame:
-    """Records of encoded pictures, with their key."""
+def records(pictures: DataFrame, kind: Column | str, deep: bool = True, cut: Column | None = None, names: Iterable[str] | None = None) -> DataFrame:
+    """Records of encoded pictures (all fields, or the name and those named), with their key."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return engine.analyse_contents(encoded(pictures, kind, cut), deep).withColumn("key", F.regexp_extract("name", r"^([0-9]+)\.", 1).cast("long"))
+    found = engine.analyse_contents(encoded(pictures, kind, cut), deep, names=None if names is None else {"name", *names})
+    return found.withColumn("key", F.regexp_extract("name", r"^([0-9]+)\.", 1).cast("long"))

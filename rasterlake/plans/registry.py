@@ -29,7 +29,7 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
 
 def _rgb_stats(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = B.records(B.order_pictures(spark, sf_dir), kind)
+        r = B.records(B.order_pictures(spark, sf_dir), kind, names=("check", "pixels"))
         channel = [f(F.col(f"pixels.{n}_channel")[i]).alias(f"{n}_{c}") for i, c in enumerate("rgb") for n, f in (("min", lambda x: x.cast("int")), ("max", lambda x: x.cast("int")), ("mean", lambda x: F.round(x, 6)))]
         return r.select("key", "check", F.col("pixels.pixel_count").alias("pixel_count"), F.col("pixels.distinct_colors").alias("distinct_colors"), F.col("pixels.grayscale").alias("grayscale"), *channel, F.round("pixels.entropy", 6).alias("entropy"))
 
@@ -51,7 +51,7 @@ for _name, _kind in {"bmp24_stats": "bmp", "png_rgb_stats": "png", "pcx_rgb_stat
 
 def _gray_stats(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r, p = B.records(B.vector_pictures(spark, sf_dir), kind), F.col("pixels")
+        r, p = B.records(B.vector_pictures(spark, sf_dir), kind, names=("check", "width", "height", "pixels")), F.col("pixels")
         return r.select(
             "key", "check", "width", "height", p["min_channel"][0].cast("int").alias("min_v"), p["max_channel"][0].cast("int").alias("max_v"), F.round(p["mean_channel"][0], 6).alias("mean_v"), p["distinct_colors"].alias("distinct_colors"),
             p["used_channel_bits"].alias("used_channel_bits"), F.round(p["entropy"], 6).alias("entropy"), F.round(p["entropy_full"], 6).alias("entropy_full"),
@@ -83,7 +83,7 @@ WITH {_PX} SELECT key, count(*) AS pixel_count, least(count(DISTINCT r * 65536 +
 
 
 def top_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = B.records(B.order_pictures(spark, sf_dir), "bmp")
+    r = B.records(B.order_pictures(spark, sf_dir), "bmp", names=("pixels",))
     return r.select("key", F.posexplode("pixels.top_colors").alias("position", "c")).select("key", (F.col("position") + 1).alias("place"), F.col("c.rgb").alias("rgb"), F.round("c.percent", 6).alias("percent"))
 
 
@@ -114,19 +114,19 @@ _detect("pages", "page_id", "html")
 _MIX = (("bmp", "BMP"), ("png", "PNG"), ("pcx", "PCX"), ("tif", "TIFF"), ("lzw.tif", "TIFF"), ("gif", "GIF"), ("jpg", "JPEG"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, deep: bool = False) -> DataFrame:
+def _mixed(spark: SparkSession, sf_dir: str, *names: str, deep: bool = False) -> DataFrame:
     """One picture for each part in one of seven encodings; every third part's file is cut to two thirds."""
     size = F.col("p_size")
     parts = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array_repeat(F.array(size, size + 1, size + 2), 40).alias("x")).select("key", F.flatten("x").alias("rgb"))
     kind = F.element_at(F.lit([k for k, _ in _MIX]), (F.col("key") % 7 + 1).cast("int"))
-    return B.records(B.spread(parts), kind, deep, F.col("key") % 3 == 0)
+    return B.records(B.spread(parts), kind, deep, F.col("key") % 3 == 0, names)
 
 
 _MIX_FORMAT = "CASE p_partkey % 7 WHEN 0 THEN 'BMP' WHEN 1 THEN 'PNG' WHEN 2 THEN 'PCX' WHEN 3 THEN 'TIFF' WHEN 4 THEN 'TIFF' WHEN 5 THEN 'GIF' ELSE 'JPEG' END"
 
 
 def detect_bridge_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir).select("key", "format", X.full_name(F.col("format")).alias("full_name"), X.format_from_extension(F.col("path")).alias("named"), "extension_mismatch")
+    return _mixed(spark, sf_dir, "path", "format", "extension_mismatch").select("key", "format", X.full_name(F.col("format")).alias("full_name"), X.format_from_extension(F.col("path")).alias("named"), "extension_mismatch")
 
 
 _FULL = "CASE f WHEN 'BMP' THEN 'Windows Bitmap' WHEN 'PNG' THEN 'Portable Network Graphics' WHEN 'JPEG' THEN 'JPEG / JFIF' WHEN 'GIF' THEN 'CompuServe GIF' WHEN 'TIFF' THEN 'Tagged Image File Format' ELSE 'ZSoft PC Paintbrush' END"
@@ -138,7 +138,7 @@ def ext_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = B.encoded(B.order_pictures(spark, sf_dir), F.lit("bmp"))
     key = F.regexp_extract("path", r"^([0-9]+)\.", 1).cast("long")
     named = F.concat(key.cast("string"), F.element_at(F.lit([".bmp", ".DIB", ".png", ".dat"]), (key % 4 + 1).cast("int")))
-    r = engine.analyse_contents(files.select(named.alias("path"), "content"))
+    r = engine.analyse_contents(files.select(named.alias("path"), "content"), names=("name", "format", "extension_name", "extension_mismatch", "check"))
     return r.select(F.regexp_extract("name", r"^([0-9]+)\.", 1).cast("long").alias("key"), "format", "extension_name", "extension_mismatch", "check")
 
 
@@ -148,7 +148,7 @@ SELECT l_orderkey AS key, 'BMP' AS format, CASE l_orderkey % 4 WHEN 0 THEN 'BMP'
 
 
 def truncation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _mixed(spark, sf_dir, deep=True)
+    r = _mixed(spark, sf_dir, "format", "check", "problems", "pixels_analyzed", deep=True)
     return r.select("key", "format", (F.col("check") == "CORRUPTED").alias("corrupted"), X.has_error(F.col("check")).alias("has_error"), "pixels_analyzed", (X.fold_severity(F.col("problems")) == F.col("check")).alias("folded"))
 
 
@@ -156,7 +156,7 @@ _add("truncation_status", truncation_status, f"SELECT p_partkey AS key, {_MIX_FO
 
 
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.summarize(_mixed(spark, sf_dir), "format").select("format", "done", "corrupted", "warnings", "not_image", "errors")
+    return engine.summarize(_mixed(spark, sf_dir, "format", "check", "file_size", "bytes_read"), "format").select("format", "done", "corrupted", "warnings", "not_image", "errors")
 
 
 _add("status_summary", status_summary, f"""
@@ -166,7 +166,7 @@ FROM (SELECT p_partkey AS k, {_MIX_FORMAT} AS f FROM part) GROUP BY f""")
 
 def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and bytes of uncompressed pictures: 54 bytes and rows of three bytes a pixel, filled up to four."""
-    r = B.records(B.order_pictures(spark, sf_dir), "bmp", deep=False)
+    r = B.records(B.order_pictures(spark, sf_dir), "bmp", deep=False, names=("check", "file_size", "bytes_read"))
     return engine.summarize(r).select("done", "file_bytes", "corrupted", "errors")
 
 
@@ -207,7 +207,7 @@ def frame_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = events.groupBy("user_id").agg(F.ceil(F.count("*") / FRAMES).alias("parts")).where("parts > 1")
     dealt = events.join(parts, "user_id", "left").withColumn("part", F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1))))
     files = dealt.groupBy("user_id", "part").agg(F.collect_list("delay").alias("delays")).select(F.concat_ws(".", F.col("user_id").cast("string"), F.col("part").cast("string"), F.lit("gif")).alias("path"), "delays")
-    r = engine.frame_rollup(engine.analyse_contents(files.mapInArrow(run, "path string, content binary")))
+    r = engine.frame_rollup(engine.analyse_contents(files.mapInArrow(run, "path string, content binary"), names=("path", "frames")))
     r = engine.add_rollups(r.withColumn("user_id", F.regexp_extract("path", "^([0-9]+)", 1).cast("long")), "user_id")
     return r.select("user_id", "frames", "delay_min", "delay_max", "delay_sum", "any_interlaced")
 
@@ -218,14 +218,14 @@ FROM (SELECT user_id, CAST(least(60000, greatest(0, floor(value))) AS INT) AS d
 
 
 def chunk_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.chunk_census(B.records(B.vector_pictures(spark, sf_dir), "png", deep=False)).groupBy("chunk").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+    return engine.chunk_census(B.records(B.vector_pictures(spark, sf_dir), "png", deep=False, names=("path", "chunks"))).groupBy("chunk").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
 
 
 _add("chunk_census", chunk_census, "SELECT chunk, (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM embeddings) AS files FROM (VALUES ('IHDR'), ('IDAT'), ('IEND')) t(chunk)")
 
 
 def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = engine.tags(B.records(B.order_pictures(spark, sf_dir), "lzw.tif", deep=False))
+    t = engine.tags(B.records(B.order_pictures(spark, sf_dir), "lzw.tif", deep=False, names=("path", "tags")))
     return t.groupBy("tag", "tag_name", "type_name").agg(F.count("*").alias("n"))
 
 
@@ -269,7 +269,7 @@ _add("sort_topk_names", sort_topk_names, "SELECT p_partkey, p_name AS name FROM
 
 
 def grid_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = reports.grid(B.records(B.order_pictures(spark, sf_dir), "pcx", deep=False))
+    g = reports.grid(B.records(B.order_pictures(spark, sf_dir), "pcx", deep=False, names=("format", "width", "height", "geometry_valid", "dpi_x", "dpi_y", "resolution_unit", "bits_per_pixel", "compression", "check", "pixels_analyzed", "pixels")))
     return g.toDF("name", "format", "size", "resolution", "depth", "compression", "state", "colours")
 
 
@@ -328,7 +328,7 @@ _add("detail_rows", detail_rows, "SELECT name, value, (SELECT count(DISTINCT l_o
 def jpeg_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gray pictures through JPEG with steps of one: means stay within one of the truth."""
     truth = B.vector_pictures(spark, sf_dir).select("key", (F.aggregate("gray", F.lit(0).cast("long"), lambda a, x: a + x) / 64.0).alias("mean"))
-    r = B.records(B.vector_pictures(spark, sf_dir), "jpg").select("key", "check", "bits_per_pixel", F.col("pixels.mean_channel")[0].alias("m"))
+    r = B.records(B.vector_pictures(spark, sf_dir), "jpg", names=("check", "bits_per_pixel", "pixels")).select("key", "check", "bits_per_pixel", F.col("pixels.mean_channel")[0].alias("m"))
     return r.join(truth, "key").select("key", "check", "bits_per_pixel", (F.abs(F.col("m") - F.col("mean")) <= 1.0).alias("close"))
 
 
@@ -351,7 +351,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(B.table(spark, sf_dir, "embeddings").schema).parquet(f"{os.path.dirname(f'{sf_dir}/')}/embeddings.parquet*")
     pictures = source.select(F.col("vec_id").alias("key"), F.transform("embedding", B.gray_value).alias("gray"))
     name = f"progress_{uuid.uuid4().hex}"
-    q = engine.summarize(B.records(pictures, "gif", deep=False)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = engine.summarize(B.records(pictures, "gif", deep=False, names=("check", "file_size", "bytes_read"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("done", "corrupted", "warnings", "not_image", "errors")
 
@@ -376,7 +376,8 @@ def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = B.spread(B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))).mapInArrow(run, "path string, content binary")
     deep = F.col("path").contains("DEEP")
-    records = engine.analyse_contents(files.where(~deep)).unionAll(engine.analyse_contents(files.where(deep), deep=True))
+    names = ("path", "problems", "check")
+    records = engine.analyse_contents(files.where(~deep), names=names).unionAll(engine.analyse_contents(files.where(deep), deep=True, names=names))
     rule = F.regexp_extract("path", r"^[0-9]+[.]([A-Z_]+)[.]", 1)
     return records.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("key"), rule.alias("rule"), F.exists("problems", lambda p: p["code"] == rule).alias("found"), "check")
 
@@ -394,7 +395,7 @@ _add("rule_verdicts", rule_verdicts, f"""SELECT p_partkey AS key, rule, true AS
 def bmp_rle4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of sixteen grays through RLE4 with runs, literals and deltas."""
     pictures = B.vector_pictures(spark, sf_dir).withColumn("gray", F.transform("gray", lambda v: F.floor(v / 16).cast("int")))
-    r, p = B.records(pictures, "rle4.bmp"), F.col("pixels")
+    r, p = B.records(pictures, "rle4.bmp", names=("check", "bits_per_pixel", "pixels")), F.col("pixels")
     return r.select("key", "check", "bits_per_pixel", p["min_channel"][0].cast("int").alias("min_v"), p["max_channel"][0].cast("int").alias("max_v"), F.round(p["mean_channel"][0], 6).alias("mean_v"), p["distinct_colors"].alias("distinct_colors"))
 
 
@@ -415,9 +416,37 @@ SELECT g AS "group", name, value, (SELECT count(DISTINCT l_orderkey) FROM lineit
   ('Размер', 'Единицы', 'dots per inch'), ('Глубина', 'Бит на пиксель', '24'), ('Глубина', 'Бит на канал', '8'), ('Глубина', 'Каналы', '3'), ('Глубина', 'Модель цвета', 'RGB'), ('Сжатие', 'Метод', 'RLE'), ('Сжатие', 'Код', 'PCX encoding = 1'), ('Проверка', 'Статус', 'OK')) t(g, name, value)""")
 
 
+def strip_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, m = B.records(B.order_pictures(spark, sf_dir), "tif", deep=False, names=("measures",)), F.col("measures")
+    return r.agg(F.count("*").alias("files"), F.sum(m["strips"]).alias("strips"), F.sum(m["strip_bytes"]).alias("strip_bytes"), F.sum(m["tags"]).alias("tags"))
+
+
+_add("strip_sums", strip_sums, "SELECT count(DISTINCT l_orderkey) AS files, count(DISTINCT l_orderkey) AS strips, CAST(count(*) * 3 AS BIGINT) AS strip_bytes, CAST(count(DISTINCT l_orderkey) * 9 AS BIGINT) AS tags FROM lineitem")
+
+
+def red_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.records(B.order_pictures(spark, sf_dir), "tif", names=("red_histogram",))
+    return r.select(F.posexplode("red_histogram").alias("red", "n")).where("n > 0").groupBy("red").agg(F.sum("n").alias("pixels"), F.count("*").alias("pictures"))
+
+
+_add("red_histogram", red_histogram, f"WITH {_PX} SELECT r AS red, count(*) AS pixels, count(DISTINCT key) AS pictures FROM px GROUP BY r")
+
+
+def compat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and sizes as lenient readers tell them."""
+    bmp = engine.compat(B.records(B.vector_pictures(spark, sf_dir).withColumn("gray", F.transform("gray", lambda v: F.floor(v / 16).cast("int"))), "rle4.bmp", deep=False))
+    plain = engine.compat(B.records(B.order_pictures(spark, sf_dir), "bmp", deep=False))
+    both = bmp.select("compression_code", "check", F.lit(0).alias("width")).unionAll(plain.select("compression_code", "check", "width"))
+    return both.groupBy("compression_code", "check").agg(F.count("*").alias("n"), F.sum("width").alias("width"))
+
+
+_add("compat_records", compat_records, """
+SELECT 'BI_2' AS compression_code, 'OK' AS "check", count(*) AS n, CAST(0 AS BIGINT) AS width FROM embeddings UNION ALL SELECT 'BI_RGB', 'OK', count(DISTINCT l_orderkey), count(*) FROM lineitem""")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deep scan of mixed files, summed up by format and state: files, pixels, and colours and red of what is without loss."""
-    r = _mixed(spark, sf_dir, deep=True)
+    r = _mixed(spark, sf_dir, "format", "check", "pixels", deep=True)
     exact = F.col("format") != "JPEG"
     return r.groupBy("format", "check").agg(F.count("*").alias("files"), F.sum(F.coalesce("pixels.pixel_count", F.lit(0))).alias("pixels"), F.sum(F.when(exact, F.coalesce("pixels.distinct_colors", F.lit(0))).otherwise(0)).alias("colours"), F.sum(F.when(exact, F.coalesce(F.col("pixels.max_channel")[0], F.lit(0.0))).otherwise(0.0)).alias("red")).orderBy("format", "check")
 

@@ -17,6 +17,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterlake.functions.labels import DEFAULT_EXTENSIONS
 from rasterlake.operators import engine
@@ -113,7 +114,8 @@ def deal(files: list[tuple[str, int, int]], bytes_each: int, most: int) -> list[
 
 
 class _Options:
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema=None):
+        self.wanted = schema or engine.RECORD_SCHEMA
         self.roots = [r for r in (options.get("roots") or options.get("path") or "").split("\n") if r]
         self.recursive = options.get("recursive", "true") == "true"
         self.deep = options.get("deep", "false") == "true"
@@ -162,18 +164,18 @@ class _Options:
         return out or [Files([])]
 
     def records(self, part: Files) -> Iterator[pa.RecordBatch]:
-        schema = engine._arrow_schema()
+        schema = to_arrow_schema(self.wanted)
         if part.failed:
-            yield pa.RecordBatch.from_pylist([engine.analyse(root, None, error=why, code="ROOT") | {"root_ordinal": k} for root, why, k in part.failed], schema)
+            yield engine.batch_of([engine.analyse(root, None, error=why, code="ROOT") | {"root_ordinal": k} for root, why, k in part.failed], schema)
         below = ((path, k) for folder, deep, k in part.folders for path, _ in sorted(_walk(folder, deep, self.extensions, self.links), key=lambda f: f[0]))
         rows: list[dict] = []
         for path, k in chain(part.files, below):
             rows.append(self.record(path) | {"root_ordinal": k})
             if len(rows) == 64:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield engine.batch_of(rows, schema)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield engine.batch_of(rows, schema)
 
     def record(self, path: str) -> dict:
         try:
@@ -229,10 +231,10 @@ class RasterFiles(DataSource):
         return engine.RECORD_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Batch(_Options(dict(self.options)))
+        return _Batch(_Options(dict(self.options), schema))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Stream(_Options(dict(self.options)))
+        return _Stream(_Options(dict(self.options), schema))
 
 
 def register(spark: SparkSession) -> None:

@@ -244,3 +244,42 @@ def test_panel(records):
     assert wrong["Формат", "Расширение"] == ("PNG", L.PANEL_MISMATCH) and wrong["Размер", "Разрешение"] == (L.NOT_SET, L.PANEL_NO_DPI) and ("Проверка", "Замечание") in wrong
     assert ("Размер", "Ширина") not in {(g, n) for g, n, *_ in of("empty.gif")}
     assert {f.name: f.metadata["comment"] for f in reports.grid(records).schema} == L.COLUMN_HELP
+
+
+def test_named_fields_alone(spark, folder):
+    rows = engine.scan(spark, folder, names=["check", "path"])
+    assert rows.columns == ["path", "check"] and rows.count() == 7
+    with pytest.raises(ValueError):
+        engine.scan(spark, folder, names=["no such field"])
+
+
+def test_sql_functions(spark):
+    engine.register_functions(spark)
+    png, jpeg = E.png(RGB, 2), E.jpeg(RGB)
+    spark.createDataFrame([("a.png", bytearray(png)), ("b.jpg", bytearray(jpeg)), ("c.gif", None)], "path string, content binary").createOrReplaceTempView("contents")
+    rows = {r["path"]: r for r in spark.sql("select path, image_format(content) f, image_check(path, content) c, image_parse(path, content) r, image_pixels(content) p from contents").collect()}
+    assert (rows["a.png"]["f"], rows["a.png"]["c"], rows["a.png"]["r"]["width"], rows["a.png"]["p"]["pixel_count"]) == ("PNG", "OK", 7, 42)
+    assert (rows["c.gif"]["f"], rows["c.gif"]["c"], rows["c.gif"]["p"]) == ("NOT_IMAGE", "NOT_IMAGE", None)
+    kinds = [r["kind"] for r in spark.sql("select kind from contents, lateral image_chunks(content) where path = 'a.png' order by position").collect()]
+    assert kinds == ["IHDR", "IDAT", "IEND"]
+    assert spark.sql("select count(*) from contents, lateral image_chunks(content) where kind = 'DA'").first()[0] == 1
+
+
+def test_compat(spark):
+    import struct
+
+    h, w = RGB.shape[:2]
+    flipped = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + 24 * h, 0, 54, 40, w, -h, 1, 24, 0, 24 * h, 0, 0, 0, 0) + bytes(24 * h)
+    flat = E.pcx24(np.zeros((64, 64, 3), np.uint8))
+    files = [("a.bmp", flipped), ("b.pcx", flat), ("c.gif", E.gif([RGB[..., 0], RGB[..., 0]], RGB[0], [1, 2])), ("d.bmp", E.bmp_rle8(RGB[..., 0], np.zeros((256, 3), np.uint8)))]
+    plain = engine.analyse_contents(spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary"))
+    assert {r["path"]: r["check"] for r in plain.collect()} == {n: "OK" for n, _ in files}
+    rows = {r["path"]: r for r in engine.compat(plain).collect()}
+    assert {n: rows[n]["check"] for n, _ in files} == {"a.bmp": "CORRUPTED", "b.pcx": "CORRUPTED", "c.gif": "OK", "d.bmp": "OK"}
+    assert (rows["a.bmp"]["compression_code"], rows["d.bmp"]["compression_code"], rows["c.gif"]["width"]) == ("BI_RGB", "BI_1", w)
+
+
+def test_measures():
+    assert engine.analyse_bytes("a.png", E.png(RGB, 2))["measures"] == {"idat_chunks": 1, "idat_bytes": len(E.png(RGB, 2)) - 57, "texts": 0}
+    record = engine.analyse_bytes("a.gif", E.gif([RGB[..., 0]] * 3, RGB[0], [4, 5, 6]), deep=True)
+    assert (record["measures"]["frames"], record["measures"]["delay"], sum(record["red_histogram"])) == (3, 15, 42)
