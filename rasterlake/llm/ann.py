@@ -401,6 +401,9 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, told: dict | N
     asking = asking.select("cell", "part", F.lit(1).alias("kind"), none("int").alias("leaf"), "leaves", "query_id", "qh", "copies", none("long").alias("h"), none("array<long>").alias("ids"), "v")
     met = held.unionAll(asking).select(*order).repartition(shuffle_partitions(spark), "cell", "part").sortWithinPartitions("cell", "part", "kind")
     found = met.mapInArrow(_rerank(top), "query_id long, qh long, copies long, h long, score double, ids array<long>").dropDuplicates(["query_id", "qh", "h"])
+    # a vector brings at least one id, the query's own perhaps none, so `top` + 1 vectors have all that can be among the nearest
+    best = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), F.element_at("ids", 1))
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1)
     # of the query's own vector, its own row goes and its twins stay
     others = F.when(F.col("h") == F.col("qh"), F.filter("ids", lambda x, i: i != F.array_position("ids", F.col("query_id")) - 1)).otherwise(F.col("ids"))
     each = found.select("query_id", "qh", "copies", "score", F.explode(others).alias("vec_id"))
