@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLOUR_CAP, TOP = 65_536, 8
+_PLACES, _FIRST = np.array([65_536, 256, 1], np.uint32), np.array([True])
 
 
 def analyse(pixels: np.ndarray, file_size: int) -> dict:
@@ -17,16 +18,19 @@ def analyse(pixels: np.ndarray, file_size: int) -> dict:
     rgb = np.repeat(pixels[..., :1], 3, axis=2) if channels < 3 else pixels[..., :3]
     flat = np.ascontiguousarray(rgb).reshape(-1, 3)
     n = len(flat)
-    packed = flat[:, 0].astype(np.uint32) << 16 | flat[:, 1].astype(np.uint32) << 8 | flat[:, 2]
-    colours, counts = np.unique(packed, return_counts=True)
+    packed = np.sort(flat.astype(np.uint32) @ _PLACES)
+    start = np.flatnonzero(np.concatenate([_FIRST, packed[1:] != packed[:-1]]))
+    colours, counts = packed[start], np.diff(start, append=n)
     top = np.lexsort((colours, -counts))[:TOP]
     reds = np.bincount(flat[:, 0], minlength=256)
-    share = reds / n
-    part = np.where(share > 0, -share * np.log2(np.where(share > 0, share, 1)), 0)
+    some = reds.nonzero()[0]
+    share = reds[some] / n
+    part = -share * np.log2(share) + 0.0  # no negative zero
+    low, high = flat.min(axis=0), flat.max(axis=0)
     return {
         "decoded": True, "error": "", "width": width, "height": height, "pixel_count": n, "distinct_colors": min(len(colours), COLOUR_CAP), "distinct_colors_capped": len(colours) > COLOUR_CAP,
-        "used_channel_bits": int(flat.max()).bit_length(), "grayscale": bool((flat[:, 0] == flat[:, 1]).all() and (flat[:, 1] == flat[:, 2]).all()), "has_alpha": alpha is not None, "alpha_used": bool(alpha is not None and (alpha != 255).any()),
-        "min_channel": flat.min(axis=0).astype(float).tolist(), "max_channel": flat.max(axis=0).astype(float).tolist(), "mean_channel": flat.mean(axis=0).tolist(), "entropy": float(part[1:].sum()), "entropy_full": float(part.sum()),
+        "used_channel_bits": int(high.max()).bit_length(), "grayscale": bool((flat[:, 0] == flat[:, 1]).all() and (flat[:, 1] == flat[:, 2]).all()), "has_alpha": alpha is not None, "alpha_used": bool(alpha is not None and (alpha != 255).any()),
+        "min_channel": low.astype(float).tolist(), "max_channel": high.astype(float).tolist(), "mean_channel": flat.mean(axis=0).tolist(), "entropy": float(part[some > 0].sum()), "entropy_full": float(part.sum()),
         "compression_ratio": file_size / (pixels.size + n), "top_colors": [{"rgb": int(colours[i]), "percent": float(counts[i] * 100 / n)} for i in top], "red_histogram": reds,
     }
 
