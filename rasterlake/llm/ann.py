@@ -10,7 +10,7 @@ Both kappa and the bound are measured: ASKED of the queries are compared with al
 true neighbours lie in opened leaves. So the search is as wide as the vectors need: a few leaves where they have structure, a good part of them where
 they have none. `plan_of` tells what was measured.
 
-Leaves lie in cells of at most BLOCK vectors: several neighbouring leaves, or a part of a large one. A cell's vectors are held by one task, its
+Leaves lie in cells of at most BLOCK bytes: several neighbouring leaves, or a part of a large one. A cell's vectors are held by one task, its
 queries stream by; a cell that more than QUERIES queries visit is given to several tasks. Equal vectors are indexed once, with the TOP + 1 smallest ids
 of each: no others can be among a query's TOP nearest, ties going to smaller ids, so this loses nothing.
 
@@ -38,8 +38,8 @@ TOP = 20
 SAMPLE, TREES, LEAF, SEED = 16_384, 8, 64, 11
 #: Queries (about) to measure the search with, and the share of their neighbours that it has to find.
 ASKED, TARGET = 128, 0.95
-#: Vectors of a cell, and queries that one task compares with them.
-BLOCK, QUERIES = 8192, 50_000
+#: Bytes of a cell's vectors (32,768 of 64 dimensions), and queries that one task compares with them.
+BLOCK, QUERIES = 16 << 20, 50_000
 
 _Z = np.linspace(-16, 16, 6401)
 _LOG_PHI = np.array([math.log(0.5 * math.erfc(-z / math.sqrt(2))) for z in _Z])
@@ -385,7 +385,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, told: dict | N
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in placed.groupBy("tree", "leaf").count().collect():  # as many as the forest has leaves
         sizes[r["tree"]][r["leaf"]] = r["count"]
-    cells = Cells.of(sizes, BLOCK)
+    cells = Cells.of(sizes, max(1, BLOCK // (8 * len(sampled[0][1]))))
     flat = lambda x: F.element_at(F.element_at(F.lit([[int(b) for b in y] for y in x]), F.col("tree") + 1), F.col("leaf") + 1)
     stored = placed.withColumn("cell", (flat(cells.first) + F.pmod("h", flat(cells.parts))).cast("long"))
     visits = checkpointed(queries.mapInArrow(_visits(forest, sizes, cells, plan, (top + 1) * len(forest)), "cell long, leaves array<int>, query_id long, qh long, copies long, v array<double>"))

@@ -608,7 +608,7 @@ def test_nearest_is_an_index(spark, structured):
 
 def test_nearest_in_cells_and_parts(spark, monkeypatch):
     """Small cells, leaves that are larger than a cell, cells dealt to several tasks: with every leaf open the result is brute force's."""
-    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "BLOCK", 30 * 8 * 8)  # thirty vectors
     monkeypatch.setattr(ann, "QUERIES", 3)
     monkeypatch.setattr(ann, "fit", lambda x: [ann.Tree(x, leaf, np.random.default_rng(leaf)) for leaf in (40, 100)])
     monkeypatch.setattr(ann, "measure", lambda *_: ann.Plan())
